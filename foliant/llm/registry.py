@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.llm import packing, records
+from foliant.llm import packing, records, simhash
 
-_MODULES = (records, packing)
+_MODULES = (simhash, records, packing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
