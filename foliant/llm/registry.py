@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.llm import chunks, lines, packing, records, simhash
+from foliant.llm import chunks, lines, packing, quality, records, simhash
 
-_MODULES = (chunks, simhash, lines, records, packing)
+_MODULES = (chunks, simhash, lines, records, quality, packing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
