@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.llm import chunks, langid, lines, packing, quality, records, simhash
+from foliant.llm import chunks, langid, lines, packing, quality, records, simhash, toxicity
 
-_MODULES = (chunks, simhash, langid, lines, records, quality, packing)
+_MODULES = (chunks, simhash, langid, lines, records, toxicity, quality, packing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
