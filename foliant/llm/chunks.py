@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SPACE, documents, id_type, string_parts, word_spans, written
+from foliant.llm.common import SPACE, documents, id_type, small_batches, string_parts, word_spans, written
 
 LEAST, MOST, TOP_BITS = 24, 96, 4
 #: A run has to have so many words to count; a chunk at either end of a repeated passage may differ, so this is less than the passages of 50 words that are to be found.
@@ -76,7 +76,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     def make(batches):
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in small_batches(batches):
             data, starts = string_parts(batch.column(1))
             each = chunk_ends(data, starts)
             whole = data.tobytes()

@@ -62,6 +62,19 @@ def string_parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
+def small_batches(batches, column: int = 1, most: int = 4 << 20):
+    """The batches in parts of at most `most` bytes of the text column (or one row), which bounds what a worker holds beside them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(sizes, (int(sizes[at - 1]) if at else 0) + most, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def byte_set(chars: bytes) -> np.ndarray:
     found = np.zeros(256, bool)
     found[list(chars)] = True

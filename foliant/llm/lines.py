@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import documents, id_type, written
+from foliant.llm.common import documents, id_type, small_batches, written
 
 RUN = 2
 
@@ -26,7 +26,7 @@ def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     def make(batches):
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in small_batches(batches):
             row, start, n, fps, at, w = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 lines, own = _lines(text)
@@ -67,8 +67,10 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     keyed = docs.select(*kept).withColumn("_key", F.xxhash64("text"))
     joined = keyed.join(cut.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(cut["_id"]) & (keyed["_key"] == cut["_t"]), "left").select(*kept, "starts")
 
+    place = kept.index("text")
+
     def rewrite(batches):
-        for batch in batches:
+        for batch in small_batches(batches, place, 16 << 20):
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             starts = columns.pop("starts").to_pylist()
             texts, n, gone = columns["text"].to_pylist(), [], []
