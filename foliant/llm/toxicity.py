@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are at most SAMPLE labelled rows in expectation, half of them toxic where there are so many, drawn by a hash of doc_id. Terms are the lower-cased words of the examples whose presence goes with a label (chi-squared at least CHI2 and LIFT times as frequent with one label as with the other), at most TERMS. Their document frequencies come from all documents; a vector is (1 + ln tf) * ln(N / df), at length one.
+Examples are at most SAMPLE labelled rows in expectation, half of them toxic where there are so many, drawn by a hash of doc_id. Terms are the lower-cased words of the examples, and the beginnings of longer ones, whose presence goes with a label (chi-squared at least CHI2 and LIFT times as frequent with one label as with the other), at most TERMS. Their document frequencies come from all documents; a vector is (1 + ln tf) * ln(N / df), at length one.
 
 The index holds, for each term, postings by blocks of BLOCK examples, and each block's largest weight. A query bounds a block's scores by its terms' largest weights, visits blocks from the highest bound down, and stops where the bound falls below its k-th best score: the K nearest are exact, ties going to the smaller doc_id. Votes are weighted by 1 / (FAR + 1 - cosine). Votes that each example gets from the others, weighted by its label's share of all labelled rows, are made into calibrated scores by isotonic regression. A text without any term gets the share of toxic rows among such examples.
 """
@@ -12,30 +12,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Vocabulary, documents, id_type, lowered_words, span_hashes, written
+from foliant.llm.common import Vocabulary, documents, id_type, lowered_words, small_batches, span_hashes, written
 
-SAMPLE, TERMS, CHI2, LIFT, LEAST_DF = 6000, 512, 10.83, 4.0, 5
+SAMPLE, TERMS, CHI2, LIFT, LEAST_DF = 4000, 512, 10.83, 4.0, 5
+#: Beginnings of words must be so many times as frequent with one label: short ones are otherwise too common.
+LIFT_BEGINNING = 40.0
+#: Characters of the beginnings of words that are terms, too: stems are known in forms not seen before.
+BEGINNINGS = (4, 5, 6, 7)
 K, FAR, BLOCK = 15, 0.05, 128
 TOXIC = 0.7
 
 
-def term_counts(array: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, term and count of each term in each text."""
-    data, begin, end, before = lowered_words(array)
-    at = vocabulary.find(span_hashes(data, begin, end))
-    hit = np.flatnonzero(at >= 0)
-    text = np.searchsorted(before, hit, "right") - 1
-    pairs, n = np.unique(text * max(1, len(vocabulary.words)) + at[hit], return_counts=True)
-    return pairs // max(1, len(vocabulary.words)), pairs % max(1, len(vocabulary.words)), n
+class Terms:
+    """Words, and beginnings of longer words, written with a star."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        whole = [i for i, x in enumerate(names) if not x.endswith("*")]
+        begun = [i for i, x in enumerate(names) if x.endswith("*")]
+        self.place = [np.array(x + [-1], np.int64) for x in (whole, begun)]  # the last for words not found
+        self.words, self.beginnings = Vocabulary([names[i] for i in whole]), Vocabulary([names[i][:-1] for i in begun])
+        self.sizes = sorted({len(names[i]) - 1 for i in begun})
+
+    def counts(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term and count of each term in each text."""
+        data, begin, end, before = lowered_words(array)
+        rows, terms = [], []
+        first = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+        char = np.searchsorted(first, begin) if self.sizes else begin
+        first = np.append(first, len(data))
+        for size in [0, *self.sizes]:
+            if size:
+                stop = first[np.minimum(char + size, len(first) - 1)]
+                longer = np.flatnonzero(stop < end)
+                at = self.place[1][self.beginnings.find(span_hashes(data, begin[longer], stop[longer]))]
+            else:
+                longer = np.arange(len(begin))
+                at = self.place[0][self.words.find(span_hashes(data, begin, end))]
+            hit = np.flatnonzero(at >= 0)
+            rows.append(np.searchsorted(before, longer[hit], "right") - 1)
+            terms.append(at[hit])
+        n = max(1, len(self.names))
+        pairs, counts = np.unique(np.concatenate(rows) * n + np.concatenate(terms), return_counts=True)
+        return pairs // n, pairs % n, counts
 
 
 def choose_terms(texts: list[str], toxic: np.ndarray, most: int = TERMS) -> list[str]:
-    """The words whose presence goes with a label, the most telling first."""
-    seen: dict[bytes, list[int]] = {}
+    """The words and beginnings of words whose presence goes with a label, the most telling first."""
+    seen: dict[str, list[int]] = {}
     data, begin, end, before = lowered_words(pa.array(texts, pa.string()))
     whole = data.tobytes()
     for i in range(len(texts)):
-        for word in {whole[a:b] for a, b in zip(begin[before[i] : before[i + 1]].tolist(), end[before[i] : before[i + 1]].tolist(), strict=True)}:
+        words = {whole[a:b] for a, b in zip(begin[before[i] : before[i + 1]].tolist(), end[before[i] : before[i + 1]].tolist(), strict=True)}
+        words = {w.decode() for w in words}
+        for word in words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}:
             seen.setdefault(word, [0, 0])[int(toxic[i])] += 1
     n1, n0 = float(toxic.sum()), float(len(toxic) - toxic.sum())
     if not n1 or not n0:
@@ -46,9 +76,9 @@ def choose_terms(texts: list[str], toxic: np.ndarray, most: int = TERMS) -> list
             continue
         p1, p0 = (a + 0.5) / (n1 + 1), (c + 0.5) / (n0 + 1)
         chi = (n1 + n0) * (a * (n0 - c) - c * (n1 - a)) ** 2 / max(1e-9, n1 * n0 * (a + c) * (n1 + n0 - a - c))
-        if chi >= CHI2 and max(p1 / p0, p0 / p1) >= LIFT:
+        if chi >= CHI2 and max(p1 / p0, p0 / p1) >= (LIFT_BEGINNING if word.endswith("*") else LIFT):
             found.append((-chi, word))
-    return [w.decode() for _, w in sorted(found)[:most]]
+    return [w for _, w in sorted(found)[:most]]
 
 
 class Index:
@@ -119,7 +149,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 class Model:
     def __init__(self, words: list[str]):
-        self.vocabulary = Vocabulary(words)
+        self.terms = Terms(words)
         self.idf = np.ones(len(words))
         self.index: Index | None = None
         self.steps, self.values = np.zeros(0), np.zeros(0)
@@ -150,11 +180,11 @@ class Model:
 
 def counted(docs: DataFrame, words: list[str]) -> DataFrame:
     """doc_id, terms and counts of each row's terms."""
-    vocabulary = Vocabulary(words)
+    known = Terms(words)
 
     def run(batches):
-        for batch in batches:
-            text, term, n = term_counts(batch.column(1), vocabulary)
+        for batch in small_batches(batches):
+            text, term, n = known.counts(batch.column(1))
             offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "terms", "counts"])
@@ -173,15 +203,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     toxic = np.array([r["toxic"] for r in rows], int)
     model = Model(choose_terms([r["text"] for r in rows], toxic))
-    table = written(counted(docs, model.vocabulary.words), "terms")
+    table = written(counted(docs, model.terms.names), "terms")
     df = {r["t"]: r["n"] for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     total = table.count()
-    model.idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1e-6 for i in range(len(model.vocabulary.words))])
+    model.idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1e-6 for i in range(len(model.terms.names))])
     if not len(rows):
         return model, table
     share = np.array([sizes.get(i, 0) / max(1, int((toxic == i).sum())) for i in (0, 1)])
     model.weight = share
-    text, term, n = term_counts(pa.array([r["text"] for r in rows], pa.string()), model.vocabulary)
+    text, term, n = model.terms.counts(pa.array([r["text"] for r in rows], pa.string()))
     cut = np.searchsorted(text, np.arange(len(rows) + 1))
     own = [(term[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     full = [i for i, (t, _) in enumerate(own) if len(t)]
@@ -189,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     w = share[toxic]
     model.base = float((w[bare] * toxic[bare]).sum() / w[bare].sum()) if bare else float((w * toxic).sum() / w.sum())
     if full:
-        model.index = Index([model.vector(*own[i]) for i in full], toxic[full], np.array([int(rows[i]["doc_id"]) for i in full]), len(model.vocabulary.words))
+        model.index = Index([model.vector(*own[i]) for i in full], toxic[full], np.array([int(rows[i]["doc_id"]) for i in full]), len(model.terms.names))
         votes, truth = [], []
         for place, j in enumerate(model.index.order):
             v = model.raw(*own[full[j]], without=place)[0]
