@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SPACE, documents, forest, id_type, string_parts, word_spans, written
+from foliant.llm.common import SPACE, documents, forest, id_type, small_batches, string_parts, word_spans, written
 from foliant.llm.components import components
 
 SHINGLE, SEED, RADIUS, PARTS = 4, 42, 4, 4
@@ -29,37 +29,92 @@ _LOWER[65:91] += 32
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Longer spans go to the library.
+_MOST_BYTES = 256
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def _round(v: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _turn(v + lane * _P2, 31) * _P1
+
+
+def xxh64_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each span of bytes, many at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(padded) - 7, "<u8", padded.data, strides=(1,))
+    halves = np.ndarray(len(padded) - 3, "<u4", padded.data, strides=(1,))
+    found = np.empty(len(begin), np.uint64)
+    for at in range(0, len(begin), 1 << 14):
+        b = begin[at : at + (1 << 14)]
+        n = end[at : at + (1 << 14)] - b
+        h = np.full(len(b), np.uint64(seed) + _P5)
+        long = np.flatnonzero((n >= 32) & (n <= _MOST_BYTES))
+        if len(long):
+            own, stripes = b[long], n[long] >> 5
+            v = [np.full(len(long), x) for x in (np.uint64((seed + int(_P1) + int(_P2)) % (1 << 64)), np.uint64((seed + int(_P2)) % (1 << 64)), np.uint64(seed), np.uint64((seed - int(_P1)) % (1 << 64)))]
+            for i in range(int(stripes.max())):
+                on = np.flatnonzero(stripes > i)
+                for j in range(4):
+                    v[j][on] = _round(v[j][on], lanes[own[on] + (32 * i + 8 * j)])
+            x = _turn(v[0], 1) + _turn(v[1], 7) + _turn(v[2], 12) + _turn(v[3], 18)
+            for j in range(4):
+                x = (x ^ _round(np.zeros(len(long), np.uint64), v[j])) * _P1 + _P4
+            h[long] = x
+        h += n.astype(np.uint64)
+        rest = np.where(n <= _MOST_BYTES, n & 31, 0)
+        p = b + np.where(n <= _MOST_BYTES, n - rest, 0)
+        for i in range(3):
+            on = np.flatnonzero(rest >= 8 * (i + 1))
+            if len(on):
+                h[on] = _turn(h[on] ^ _round(np.zeros(len(on), np.uint64), lanes[p[on] + 8 * i]), 27) * _P1 + _P4
+        p += rest & ~7
+        on = np.flatnonzero(rest & 4)
+        h[on] = _turn(h[on] ^ halves[p[on]].astype(np.uint64) * _P1, 23) * _P2 + _P3
+        p += rest & 4
+        for i in range(3):
+            on = np.flatnonzero((rest & 3) > i)
+            h[on] = _turn(h[on] ^ padded[p[on] + i].astype(np.uint64) * _P5, 11) * _P1
+        h ^= h >> np.uint64(33)
+        h *= _P2
+        h ^= h >> np.uint64(29)
+        h *= _P3
+        h ^= h >> np.uint64(32)
+        for i in np.flatnonzero(n > _MOST_BYTES).tolist():
+            h[i] = xxhash.xxh64_intdigest(data[int(b[i]) : int(b[i]) + int(n[i])].tobytes(), seed)
+        found[at : at + (1 << 14)] = h
+    return found
+
+
 def fingerprints(array: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The 64-bit fingerprint of each text: A-Z lower-cased, words parted by \\x20 and \\x09-\\x0D, XXH64 of each run of `shingle` words joined by a space (all words where there are fewer), a bit set where over half of the hashes have it. No words: 0."""
     data, starts = string_parts(array)
     begin, end, before = word_spans(data, starts, SPACE)
-    data = _LOWER[data]
+    found = np.zeros(len(starts) - 1, np.uint64)
+    if not len(begin):
+        return found
     # all words in a row, each with one space behind it
     sizes = end - begin
     stop = np.cumsum(sizes + 1)
-    joined = np.full(int(stop[-1]) if len(stop) else 0, 32, np.uint8)
-    at = stop - sizes - 1
-    if len(begin):
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[begin] = 1
-        inside[end] -= 1
-        where = np.ones(len(joined), bool)
-        where[stop - 1] = False
-        joined[where] = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)] if not (begin[1:] == end[:-1]).any() else np.concatenate([data[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
-    whole, digest = joined.tobytes(), xxhash.xxh64_digest
-    found = np.zeros(len(starts) - 1, np.uint64)
-    first, last = at.tolist(), (stop - 1).tolist()
-    for i, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist(), strict=True)):
-        if a == b:
-            continue
-        n = max(1, b - a - shingle + 1)
-        hashes = b"".join([digest(whole[x:y], seed) for x, y in zip(first[a : a + n], last[min(a + shingle, b) - 1 : b], strict=True)])
-        each = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-        value = 0
-        for k in range(8):  # digests are big-endian
-            ones = np.bincount(each[:, k], minlength=256) @ _BITS
-            value = value << 8 | int(((2 * ones > n) << np.arange(8)).sum())
-        found[i] = value
+    first, last = stop - sizes - 1, stop - 1
+    joined = np.full(int(stop[-1]), 32, np.uint8)
+    place = np.arange(int(sizes.sum()))
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    joined[place + word] = _LOWER[data[place + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)]]
+    words = np.diff(before)
+    n = np.where(words > 0, np.maximum(1, words - shingle + 1), 0)
+    text = np.repeat(np.arange(len(n)), n)
+    head = before[:-1][text] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    hashes = xxh64_spans(joined, first[head], last[np.minimum(head + shingle, before[1:][text]) - 1], seed)
+    each = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    ends = np.cumsum(n)
+    for i in np.flatnonzero(n).tolist():
+        own = each[ends[i] - n[i] : ends[i]]
+        ones = np.concatenate([np.bincount(own[:, k], minlength=256) @ _BITS for k in range(8)])
+        found[i] = np.packbits(2 * ones > n[i], bitorder="little").view("<u8")[0]
     return found
 
 
@@ -67,7 +122,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1)).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, fp long")
@@ -278,7 +333,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def _with_fp(batches):
-    for batch in batches:
+    for batch in small_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints(batch.column(1)).view(np.int64))], names=["doc_id", "text", "fp"])
 
 
