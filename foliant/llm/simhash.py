@@ -328,8 +328,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stays = joined.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least._t").alias("_text"))
     kept = docs.withColumn("_t", F.xxhash64("text"))
     kept = kept.join(stays, kept["doc_id"].eqNullSafe(stays["_id"]) & (kept["_t"] == stays["_text"]), "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))
-    return kept.withColumn("_n", one).where("_n = 1").select(*columns)
+    if table.groupBy("doc_id", "_t").count().where("count > 1").limit(1).count():
+        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))).where("_n = 1")
+    return kept.select(*columns)
 
 
 def _with_fp(batches):
