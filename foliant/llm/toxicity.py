@@ -133,13 +133,11 @@ def vote(cosines: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rising step function nearest to y at x by weighted squares: begins of the steps and their values."""
+    at, place = np.unique(x, return_inverse=True)
+    total, weight = np.bincount(place, w * y), np.bincount(place, w)
     blocks: list[list[float]] = []
-    for i in np.argsort(x, kind="stable").tolist():
-        if blocks and blocks[-1][0] == x[i]:
-            blocks[-1][1] += w[i] * y[i]
-            blocks[-1][2] += w[i]
-        else:
-            blocks.append([float(x[i]), float(w[i] * y[i]), float(w[i])])
+    for one in zip(at.tolist(), total.tolist(), weight.tolist(), strict=True):
+        blocks.append(list(one))
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             last = blocks.pop()
             blocks[-1][1] += last[1]
