@@ -1 +1 @@
-
+"""Readers that give the operators' tables."""

@@ -1 +1 @@
-
+"""Run logs as streams: an addition to the batch operators."""
