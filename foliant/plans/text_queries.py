@@ -1,28 +1,176 @@
-"""Queries on the lines of documents."""
+"""Queries on lines, tokens and pages of texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
+from foliant.operators import chunking, structure
+from foliant.sources import readers, writers
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, words and number tokens of documents by source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text")
-    numbers = F.expr(r"regexp_extract_all(text, '[0-9]+([.,][0-9]+)?%?', 0)")
-    return docs.groupBy("source").agg(
-        F.count("*").alias("n_docs"),
-        F.sum(F.size(F.split("text", "\n"))).alias("n_lines"),
-        F.sum(F.size(numbers)).alias("n_numbers"),
-        F.sum(F.size(F.array_distinct(numbers))).alias("n_distinct_numbers"),
-    )
-
-
-QUERIES = {"line_tokens": line_tokens}
+    """Documents, lines and number tokens by source."""
+    numbers = T.found("text", "[0-9]+(?:[.,][0-9]+)?%?")
+    return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"), F.sum(F.size(numbers)).alias("n_numbers"), F.sum(F.size(F.array_distinct(numbers))).alias("n_distinct_numbers"))
+
+
+def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.line_blocks(_table(spark, sf_dir, "documents"))
+
+
+def math_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols by language and how many documents have them."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("lang", F.explode(T.math_symbols("text")).alias("symbol")).groupBy("lang", "symbol").agg(F.count("*").alias("n_docs"))
+
+
+def locked_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different number tokens each document has that a translation must keep."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(T.distinct_found("text", "[0-9]+(?:[.][0-9]+)?%?")).cast("long").alias("n_tokens")).where("n_tokens > 0")
+
+
+def upper_case_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two capitals or more and how often they occur."""
+    return _table(spark, sf_dir, "documents").select(F.explode(T.found("text", "[A-Z]{2,}(?:-[A-Z0-9]+)*")).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+
+
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(T.token_estimate(F.length("text"))).alias("tokens"), F.sum(F.length("text")).alias("chars"))
+
+
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a document has more than once."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(T.repeated_paragraphs("text", least=10, clip=160, parted="\n")).alias("line"))
+
+
+def residual_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters, visible = T.residual_counts("text")
+    docs = _table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(letters).alias("letters"), F.sum(visible).alias("visible"))
+    return docs.withColumn("ratio", F.col("letters") / F.col("visible"))
+
+
+def tail_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.tail("text").alias("tail"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of raw pages, with their first ones in one cell."""
+    return writers.link_rows(readers.page_links(_table(spark, sf_dir, "pages")).withColumn("link_count", F.col("link_count").cast("long")))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.pages_of_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three pages of five lines, a page of overlap."""
+    pages = readers.page_rows(_pages(spark, sf_dir)).withColumns({"link_count": F.lit(0), "image_count": F.lit(0)})
+    return chunking.window_chunk_texts(pages).select("doc_id", "chunk_id", F.size("pages").cast("long").alias("n_pages"), F.length("text").cast("long").alias("n_chars"))
+
+
+def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last line with text of each page and the first of the next."""
+    blocks = _pages(spark, sf_dir).withColumns({"block_id": F.format_string("b%d", "ord"), "type": F.lit("paragraph")})
+    return structure.page_boundaries(blocks)
+
+
+def page_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page ends that seem to go on, with the lines on both sides."""
+    found = _ends(spark, sf_dir).where(F.col("joiner") == "space")
+    return found.select("doc_id", "boundary_id", "severity", "previous_tail", "next_head")
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines stand under each short line, taken as a heading."""
+    heading = F.when(F.length("text").between(1, 12), "heading").otherwise("paragraph")
+    blocks = readers.line_blocks(_table(spark, sf_dir, "documents")).withColumns({"page_no": F.lit(1), "type": heading})
+    return structure.section_headings(blocks).where("section IS NOT NULL").groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"))
+
+
+def prior_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with the one before and the number of characters of the three before."""
+    turns = chunking.prior_context(_table(spark, sf_dir, "conversations"), "text", "turn", 3, "conv_id")
+    return turns.select("conv_id", "turn", F.length("previous").cast("long").alias("previous_chars"), F.length(F.array_join("recent", "")).cast("long").alias("recent_chars"))
+
+
+def same_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that more than one document has, by digest."""
+    return writers.with_hash(_table(spark, sf_dir, "documents"), "text").groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+def term_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark text, letter for letter but for case. The benchmark is a list of questions, not data that grows."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay"))
+    return docs.join(items, F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (line_tokens, line_blocks, math_symbols, locked_numbers, upper_case_runs, token_estimate, repeated_lines, residual_letters, tail_snippets, page_links, page_windows, page_boundaries, sections, prior_context, same_texts, term_containment)}
+
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents"
+_COMPACT = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
 SQL = {
     "line_tokens": r"""
-        SELECT source, count(*) AS n_docs, sum(len(string_split(text, chr(10)))) AS n_lines,
-               sum(len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?%?'))) AS n_numbers,
-               sum(len(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?%?')))) AS n_distinct_numbers
+        SELECT source, count(*) AS n_docs, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines,
+               sum(len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?%?')))::BIGINT AS n_numbers,
+               sum(len(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?%?'))))::BIGINT AS n_distinct_numbers
         FROM documents GROUP BY source""",
+    "line_blocks": f"SELECT doc_id, format('p1-b{{:04d}}', ord) AS block_id, ord::INTEGER AS ord, line AS text FROM ({_LINES})",
+    "math_symbols": "SELECT lang, symbol, count(*) AS n_docs FROM (SELECT lang, unnest(list_distinct(regexp_extract_all(text, '[≤≥≠±≈=∑∫√→αβγδλμσ]'))) AS symbol FROM documents) GROUP BY lang, symbol",
+    "locked_numbers": "SELECT * FROM (SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?%?')))::BIGINT AS n_tokens FROM documents) WHERE n_tokens > 0",
+    "upper_case_runs": "SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Z]{2,}(?:-[A-Z0-9]+)*')) AS run FROM documents) GROUP BY run",
+    "token_estimate": "SELECT source, sum((length(text) + 3) // 4)::BIGINT AS tokens, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source",
+    "repeated_lines": f"""
+        SELECT doc_id, substring(c, 1, 160) AS line FROM (SELECT doc_id, {_COMPACT.format('line')} AS c FROM ({_LINES}))
+        WHERE length(c) >= 10 GROUP BY doc_id, c HAVING count(*) > 1""",
+    "residual_letters": r"""
+        SELECT lang, letters, visible, letters / visible AS ratio FROM (
+            SELECT lang, sum(len(regexp_extract_all(body, '[A-Za-z]')))::BIGINT AS letters, sum(len(regexp_extract_all(body, '[A-Za-z一-鿿]')))::BIGINT AS visible
+            FROM (SELECT lang, regexp_replace(text, '`[^`]*`', '', 'g') AS body FROM documents) GROUP BY lang)""",
+    "tail_snippets": r"""
+        SELECT doc_id, CASE WHEN length(p) > 480 THEN regexp_replace(right(p, 480), '^\s+', '') ELSE coalesce(p, '') END AS tail
+        FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[-1] AS p FROM documents)""",
+    "page_links": r"""
+        SELECT page_id, len(links)::BIGINT AS link_count, array_to_string(links[1:20], ' | ') AS sample
+        FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']+)["'']', 1) AS links FROM pages) WHERE len(links) > 0""",
+    "page_windows": f"""
+        WITH p AS (SELECT doc_id, ord // 5 AS page, string_agg(line, chr(10) ORDER BY ord) AS text FROM ({_LINES}) GROUP BY ALL),
+        n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+        k AS (SELECT doc_id, n, unnest(range(0, greatest(0, ceil((n - 3) / 2.0))::BIGINT + 1)) AS k FROM n)
+        SELECT k.doc_id, format('c{{:04d}}', k.k) AS chunk_id, count(*) AS n_pages, (sum(length(text)) + 2 * (count(*) - 1))::BIGINT AS n_chars
+        FROM k JOIN p ON p.doc_id = k.doc_id AND p.page >= 2 * k.k AND p.page < 2 * k.k + 3 GROUP BY k.doc_id, k.k""",
+    "page_boundaries": rf"""
+        WITH l AS (SELECT doc_id, ord // 5 AS page, ord, line FROM ({_LINES})),
+        c AS (SELECT doc_id, page, arg_min(line, ord) AS head, arg_max(line, ord) AS tail FROM l WHERE trim(line) <> '' GROUP BY ALL),
+        g AS (SELECT DISTINCT doc_id, page FROM l),
+        q AS (SELECT g.doc_id, g.page, lead(g.page) OVER w AS next_page, {_COMPACT.format('c.tail')} AS a, lead({_COMPACT.format('c.head')}) OVER w AS b
+              FROM g LEFT JOIN c USING (doc_id, page) WINDOW w AS (PARTITION BY g.doc_id ORDER BY g.page)),
+        s AS (SELECT *, regexp_replace(a, '["''”’）)\]}}」』]+$', '') AS z,
+              regexp_matches(b, '^[,;:)\]}}，；：）]|^[a-z]') OR regexp_matches(b, '(?i)^(and|or|but|which|that|where|while|when|with|without|between|from|to|of|in|for|as|by|than|therefore|however)\b') AS continues,
+              regexp_matches(a, '(?i)(?:et\s+al\.|e\.g\.|i\.e\.|cf\.|vs\.|eqs?\.|figs?\.|tabs?\.|secs?\.|refs?\.|nos?\.|dr\.|prof\.)\s*$') AS abbreviated,
+              regexp_matches(a, '[A-Za-z0-9]{{2,}}[-‐-―]\s*$') AND regexp_matches(b, '^[A-Za-z]') AS hyphened,
+              regexp_extract_all(regexp_replace(a, '[-‐-―]\s*$', ''), '[A-Za-z0-9]+') AS wa, regexp_extract_all(b, '[A-Za-z0-9]+') AS wb
+              FROM q WHERE a IS NOT NULL AND b IS NOT NULL),
+        u AS (SELECT *, z <> '' AND NOT contains('.!?。！？', right(z, 1)) AND (contains(',，;；:：-–—', right(z, 1)) OR (len(regexp_extract_all(z, '[A-Za-z0-9一-鿿]+')) >= 4 AND regexp_matches(right(z, 1), '[\p{{L}}\p{{N}}]'))) AS unfinished,
+              abbreviated AND (continues OR regexp_matches(b, '^(?:[(\[{{]\s*)?(?:[a-z0-9]|[,;:，；：])')) AS abbreviation,
+              len(wa) BETWEEN 1 AND 2 AND len(wb) BETWEEN 1 AND 4 AND len(list_filter(list_concat(wa, wb), lambda w: NOT (regexp_matches(w, '^[A-Z][a-z]*$') OR (regexp_matches(w, '^[A-Z0-9]+$') AND regexp_matches(w, '[A-Z]')) OR regexp_matches(w, '^[A-Z][a-z0-9]*[a-z][a-z0-9]*$')))) = 0 AS title FROM s)
+        SELECT doc_id, format('p{{}}-p{{}}', page, next_page) AS boundary_id, CASE WHEN abbreviation OR (unfinished AND continues) THEN 'high' ELSE 'medium' END AS severity, right(a, 160) AS previous_tail, substring(b, 1, 160) AS next_head
+        FROM u WHERE NOT (hyphened AND NOT title) AND (abbreviation OR (unfinished AND NOT title))""",
+    "sections": f"""
+        SELECT doc_id, section, count(*) AS n_lines FROM (
+            SELECT doc_id, last_value(CASE WHEN length(line) BETWEEN 1 AND 12 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM ({_LINES}))
+        WHERE section IS NOT NULL GROUP BY doc_id, section""",
+    "prior_context": """
+        SELECT conv_id, turn, length(lag(text) OVER w) AS previous_chars, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS recent_chars
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "same_texts": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "term_containment": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))",
 }
