@@ -41,7 +41,8 @@ def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.drift(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id")))
+    """Customers as the index, every other number up to twice the last part as directories."""
+    return jobs.drift(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")), _table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("job_id")))
 
 
 def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +156,7 @@ SQL = {
     "other_jobs": f"SELECT o_orderkey AS job_id, o_custkey AS user_id FROM orders WHERE o_custkey = {USER} AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey = {USER} AND o_orderpriority = '1-URGENT') ORDER BY o_orderdate DESC, o_orderkey LIMIT 100",
     "favorite_counts": "SELECT o_custkey AS user_id, count(*) AS n, count(*) >= 3 AS full FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey",
     "stale_jobs": "SELECT o_custkey AS user_id, count(*) AS n FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderdate < TIMESTAMP '1996-01-01' - INTERVAL 24 HOUR GROUP BY o_custkey",
-    "job_drift": "SELECT c_custkey AS job_id, 'missing_on_disk' AS drift FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'missing_in_index' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+    "job_drift": "SELECT c_custkey AS job_id, 'missing_on_disk' AS drift FROM customer WHERE c_custkey NOT IN (SELECT p_partkey * 2 FROM part) UNION ALL SELECT p_partkey * 2, 'missing_in_index' FROM part WHERE p_partkey * 2 NOT IN (SELECT c_custkey FROM customer)",
     "audit_page": "SELECT event_id AS id, user_id || ': ' || event_type AS summary FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 10",
     "job_progress": """
         WITH c AS (SELECT l_orderkey AS job_id, count(DISTINCT l_linenumber) AS total, count(DISTINCT CASE WHEN l_linestatus = 'F' THEN l_linenumber END) AS completed,

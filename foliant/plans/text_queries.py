@@ -75,16 +75,12 @@ def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.window_chunk_texts(pages).select("doc_id", "chunk_id", F.size("pages").cast("long").alias("n_pages"), F.length("text").cast("long").alias("n_chars"))
 
 
-def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last line with text of each page and the first of the next."""
-    blocks = _pages(spark, sf_dir).withColumns({"block_id": F.format_string("b%d", "ord"), "type": F.lit("paragraph")})
-    return structure.page_boundaries(blocks)
-
-
 def page_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page ends that seem to go on, with the lines on both sides."""
-    found = _ends(spark, sf_dir).where(F.col("joiner") == "space")
-    return found.select("doc_id", "boundary_id", "severity", "previous_tail", "next_head")
+    """Texts as pages of 300 characters: where one goes on over a page's end, and what stands on both sides."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 300).cast("int")), lambda i: F.substring("text", i * 300 + 1, F.lit(300)))
+    pages = _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.posexplode(cut).alias("page_no", "text"))
+    found = structure.page_boundaries(pages.withColumns({"ord": F.lit(0), "block_id": F.lit("b"), "type": F.lit("paragraph")}))
+    return found.where(~F.col("joiner").startswith("hyphen")).select("doc_id", "boundary_id", "severity", "previous_tail", "next_head")
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,11 +144,9 @@ SQL = {
         SELECT k.doc_id, format('c{{:04d}}', k.k) AS chunk_id, count(*) AS n_pages, (sum(length(text)) + 2 * (count(*) - 1))::BIGINT AS n_chars
         FROM k JOIN p ON p.doc_id = k.doc_id AND p.page >= 2 * k.k AND p.page < 2 * k.k + 3 GROUP BY k.doc_id, k.k""",
     "page_boundaries": rf"""
-        WITH l AS (SELECT doc_id, ord // 5 AS page, ord, line FROM ({_LINES})),
-        c AS (SELECT doc_id, page, arg_min(line, ord) AS head, arg_max(line, ord) AS tail FROM l WHERE trim(line) <> '' GROUP BY ALL),
-        g AS (SELECT DISTINCT doc_id, page FROM l),
-        q AS (SELECT g.doc_id, g.page, lead(g.page) OVER w AS next_page, {_COMPACT.format('c.tail')} AS a, lead({_COMPACT.format('c.head')}) OVER w AS b
-              FROM g LEFT JOIN c USING (doc_id, page) WINDOW w AS (PARTITION BY g.doc_id ORDER BY g.page)),
+        WITH p AS (SELECT doc_id, unnest(range(0, (length(text) - 1) // 300 + 1)) AS page, text FROM documents WHERE text <> ''),
+        c AS (SELECT doc_id, page, substring(text, (page * 300 + 1)::BIGINT, 300) AS line FROM p),
+        q AS (SELECT doc_id, page, lead(page) OVER w AS next_page, CASE WHEN trim(line) <> '' THEN {_COMPACT.format('line')} END AS a, lead(CASE WHEN trim(line) <> '' THEN {_COMPACT.format('line')} END) OVER w AS b FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
         s AS (SELECT *, regexp_replace(a, '["''”’）)\]}}」』]+$', '') AS z,
               regexp_matches(b, '^[,;:)\]}}，；：）]|^[a-z]') OR regexp_matches(b, '(?i)^(and|or|but|which|that|where|while|when|with|without|between|from|to|of|in|for|as|by|than|therefore|however)\b') AS continues,
               regexp_matches(a, '(?i)(?:et\s+al\.|e\.g\.|i\.e\.|cf\.|vs\.|eqs?\.|figs?\.|tabs?\.|secs?\.|refs?\.|nos?\.|dr\.|prof\.)\s*$') AS abbreviated,
