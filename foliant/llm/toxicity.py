@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,27 +58,48 @@ class Terms:
         return pairs // n, pairs % n, counts
 
 
+_BEGUN = np.uint64(0xA5A5A5A55A5A5A5A)
+
+
+def _features(texts: list[str]):
+    """For each text's words and beginnings of words: text, hash, and where the feature stands in data."""
+    for at in range(0, len(texts), 200):
+        data, begin, end, before = lowered_words(pa.array(texts[at : at + 200], pa.string()))
+        first = np.flatnonzero((data & 0xC0) != 0x80)
+        char, first = np.searchsorted(first, begin), np.append(first, len(data))
+        text = at + np.searchsorted(before, np.arange(len(begin)), "right") - 1
+        for size in (0, *BEGINNINGS):
+            stop = first[np.minimum(char + size, len(first) - 1)] if size else end
+            on = np.flatnonzero(stop < end) if size else np.arange(len(begin))
+            yield text[on], span_hashes(data, begin[on], stop[on]) ^ (_BEGUN if size else np.uint64(0)), data, begin[on], stop[on], "*" if size else ""
+
+
 def choose_terms(texts: list[str], toxic: np.ndarray, most: int = TERMS) -> list[str]:
-    """The words and beginnings of words whose presence goes with a label, the most telling first."""
-    seen: dict[str, list[int]] = {}
-    data, begin, end, before = lowered_words(pa.array(texts, pa.string()))
-    whole = data.tobytes()
-    for i in range(len(texts)):
-        words = {whole[a:b] for a, b in zip(begin[before[i] : before[i + 1]].tolist(), end[before[i] : before[i + 1]].tolist(), strict=True)}
-        words = {w.decode() for w in words}
-        for word in words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}:
-            seen.setdefault(word, [0, 0])[int(toxic[i])] += 1
+    """The words and beginnings of words whose presence goes with a label, the most telling first. Features are counted by hash; only the chosen ones are spelt out."""
     n1, n0 = float(toxic.sum()), float(len(toxic) - toxic.sum())
     if not n1 or not n0:
         return []
-    found = []
-    for word, (c, a) in seen.items():
-        if a + c < LEAST_DF:
-            continue
-        p1, p0 = (a + 0.5) / (n1 + 1), (c + 0.5) / (n0 + 1)
-        chi = (n1 + n0) * (a * (n0 - c) - c * (n1 - a)) ** 2 / max(1e-9, n1 * n0 * (a + c) * (n1 + n0 - a - c))
-        if chi >= CHI2 and max(p1 / p0, p0 / p1) >= (LIFT_BEGINNING if word.endswith("*") else LIFT):
-            found.append((-chi, word))
+    seen, labels = [], []
+    for text, hashes, *_ in _features(texts):
+        order = np.lexsort((hashes, text))
+        text, hashes = text[order], hashes[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+        seen.append(hashes[new])
+        labels.append(toxic[text[new]])
+    names, place = np.unique(np.concatenate(seen), return_inverse=True)
+    a = np.bincount(place, np.concatenate(labels), minlength=len(names))
+    c = np.bincount(place, minlength=len(names)) - a
+    p1, p0 = (a + 0.5) / (n1 + 1), (c + 0.5) / (n0 + 1)
+    chi = (n1 + n0) * (a * (n0 - c) - c * (n1 - a)) ** 2 / np.maximum(1e-9, n1 * n0 * (a + c) * (n1 + n0 - a - c))
+    lift = np.maximum(p1 / p0, p0 / p1)
+    score = dict(zip(names[wanted].tolist(), np.stack([chi[wanted], lift[wanted]], 1).tolist(), strict=True)) if (wanted := np.flatnonzero((a + c >= LEAST_DF) & (chi >= CHI2) & (lift >= LIFT))).size else {}
+    spelt: dict[int, str] = {}
+    for _, hashes, data, begin, stop, star in _features(texts):
+        for i in np.flatnonzero(np.isin(hashes, names[wanted])).tolist():
+            if (h := int(hashes[i])) not in spelt:
+                spelt[h] = data[begin[i] : stop[i]].tobytes().decode() + star
+    found = [(-score[h][0], word) for h, word in spelt.items() if not word.endswith("*") or score[h][1] >= LIFT_BEGINNING]
     return [w for _, w in sorted(found)[:most]]
 
 
@@ -202,7 +224,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     toxic = np.array([r["toxic"] for r in rows], int)
     model = Model(choose_terms([r["text"] for r in rows], toxic))
     table = written(counted(docs, model.terms.names), "terms")
-    df = {r["t"]: r["n"] for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+
+    def frequency(batches):
+        total = np.zeros(len(model.terms.names), np.int64)
+        for batch in batches:
+            total += np.bincount(pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"t": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    df = {r["t"]: r["n"] for r in table.select("terms").mapInArrow(frequency, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     total = table.count()
     model.idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1e-6 for i in range(len(model.terms.names))])
     if not len(rows):
