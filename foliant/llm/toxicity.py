@@ -86,10 +86,12 @@ def choose_terms(texts: list[str], toxic: np.ndarray, most: int = TERMS) -> list
         new = np.ones(len(text), bool)
         new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
         seen.append(hashes[new])
-        labels.append(toxic[text[new]])
+        labels.append(toxic[text[new]] == 1)
     names, place = np.unique(np.concatenate(seen), return_inverse=True)
-    a = np.bincount(place, np.concatenate(labels), minlength=len(names))
+    del seen
+    a = np.bincount(place[np.concatenate(labels)], minlength=len(names)).astype(float)
     c = np.bincount(place, minlength=len(names)) - a
+    del place, labels
     p1, p0 = (a + 0.5) / (n1 + 1), (c + 0.5) / (n0 + 1)
     chi = (n1 + n0) * (a * (n0 - c) - c * (n1 - a)) ** 2 / np.maximum(1e-9, n1 * n0 * (a + c) * (n1 + n0 - a - c))
     lift = np.maximum(p1 / p0, p0 / p1)
