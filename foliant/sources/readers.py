@@ -99,3 +99,21 @@ def prices(spark: SparkSession, profile: dict | None) -> DataFrame:
         number = lambda n, p=p: float(p.get(n) or 0) if str(p.get(n) or 0).replace(".", "", 1).isdigit() else 0.0
         found.append((key.lower().strip(), str(p.get("currency") or (profile or {}).get("currency") or "USD").upper(), *(number(n) for n in ("input_per_1m_tokens", "output_per_1m_tokens", "input_per_1m_chars", "output_per_1m_chars", "per_request"))))
     return spark.createDataFrame(found, schemas.PRICE)
+
+
+def glossary(spark: SparkSession, path: str) -> DataFrame:
+    """Terms from a glossary file, in the file's order."""
+    terms = spark.read.option("multiLine", True).schema("terms array<struct<en:string,zh:string,first_page:string,source:string,status:string,confidence:double,section_scope:string>>").json(path)
+    rows = terms.select(F.posexplode("terms").alias("ordinal", "t")).select(F.col("ordinal").cast("long").alias("ordinal"), "t.*")
+    return rows.withColumn("first_page", F.col("first_page").try_cast("int"))
+
+
+def pending_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items that wait for review."""
+    rows = spark.read.option("multiLine", True).schema("items array<struct<type:string,status:string,en:string,existing_zh:array<string>,candidate_zh:string,first_page:int,source:string>>").json(path)
+    return rows.select(F.posexplode("items").alias("ordinal", "i")).select(F.col("ordinal").cast("long").alias("ordinal"), "i.*")
+
+
+def accepted_uploads(found: DataFrame, most_bytes: int = 120 << 20) -> DataFrame:
+    """files() with why an upload is refused; null where it isn't."""
+    return found.withColumn("refused", F.when(~F.col("is_pdf"), "not_a_pdf").when(F.col("length") > most_bytes, "too_large"))
