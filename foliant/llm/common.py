@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -34,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """df, a written table, to be broadcast where it has at most `most` rows; a larger one is joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -62,7 +68,16 @@ def string_parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
-def small_batches(batches, column: int = 1, most: int = 4 << 20):
+def release() -> None:
+    """Gives back memory that Arrow's and the C library's pools hold on to: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def small_batches(batches, column: int = 1, most: int = 2 << 20):
     """The batches in parts of at most `most` bytes of the text column (or one row), which bounds what a worker holds beside them."""
     for batch in batches:
         if not batch.num_rows:
@@ -73,6 +88,7 @@ def small_batches(batches, column: int = 1, most: int = 4 << 20):
             upto = max(at + 1, int(np.searchsorted(sizes, (int(sizes[at - 1]) if at else 0) + most, "right")))
             yield batch.slice(at, upto - at)
             at = upto
+    release()
 
 
 def byte_set(chars: bytes) -> np.ndarray:
@@ -122,7 +138,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit polynomial hash of each span of bytes, mixed; equal bytes have equal hashes wherever they stand."""
     found = np.empty(len(begin), np.uint64)
-    step = 1 << 22  # bytes at a time: the powers stay small
+    step = 1 << 20  # bytes at a time: the powers stay small
     i = 0
     while i < len(begin):
         base = int(begin[i])

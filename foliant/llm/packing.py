@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import documents, written
+from foliant.llm.common import documents, small, small_batches, written
 from foliant.llm.tokens import END_ID, default_tokenizer, documents_ids, encoder
 
 CAPACITY = 4096
 #: Rows of one length that one task ranks.
-RANK_GROUP = 50_000
+RANK_GROUP = 1000
 
 
 class Plan:
@@ -168,7 +168,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
 
     def cut(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in small_batches(batches, most=8 << 20):
             rows: dict[str, list] = {"at": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
             for i, ids in enumerate(documents_ids(encode, batch.column(1), end_id)):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
@@ -190,13 +190,13 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = make_plan(counts, capacity).arrays()
-    salts = max(1, -(-max(counts.values(), default=1) // RANK_GROUP))
+    salts = spark.createDataFrame([(k, -(-n // RANK_GROUP)) for k, n in counts.items()], "length long, _salts long")  # a row for each length
     names = pieces.columns
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.join(F.broadcast(salts), "length").select(*names, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).alias("_salt"))
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["length", "_salt"]).select(*names, (F.col("_rank") + F.col("_before")).alias("_rank"))
+    ranked = ranked.join(small(written(before, "before"), 200_000), ["length", "_salt"]).select(*names, (F.col("_rank") + F.col("_before")).alias("_rank"))
     sent = spark.sparkContext.broadcast(runs)  # its size is bounded by the capacity, not by the rows
 
     def find(batches):

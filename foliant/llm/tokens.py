@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from foliant.llm.common import SPACE, string_parts
 
 END_ID = 1
 #: Words whose ids a worker keeps; others are encoded again when met again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: A word that is Latin letters, then perhaps marks: normalisation only lower-cases it, and its pre-tokens are these two parts. U+0130 is left out as it lower-cases to a letter and a mark.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
 
@@ -45,12 +46,12 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache_words = cache_words
         self.letters = _byte_letters()
-        self.units: dict[str, list[int]] = {}
+        self.units: dict[str, bytes] = {}
         self.words: dict[str, int] = {}
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
         probe = "Ab, cD.\n  éÈ's 12\tÄöß, ŒUVRE; x\n<y don't … 日本 it's ñandú!? ... The"
         try:
-            self.by_word = self._ids(probe) == [i for w in probe.split() for i in self._word(w)]
+            self.by_word = self._ids(probe) == np.frombuffer(b"".join(map(self._word, probe.split())), np.int32).tolist()
         except Exception:  # the model can't be asked for single pre-tokens
             self.by_word = False
         self.units.clear()
@@ -58,25 +59,26 @@ class WordEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _unit(self, unit: str) -> list[int]:
+    def _unit(self, unit: str) -> bytes:
         found = self.units.get(unit)
         if found is None:
             spelt = unit if unit.isascii() else "".join(map(self.letters.__getitem__, unit.encode()))
-            found = [t.id for t in self.model.tokenize(spelt)]
+            found = array("i", [t.id for t in self.model.tokenize(spelt)]).tobytes()
             if len(self.units) < self.cache_words:
                 self.units[unit] = found
         return found
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """A word's ids, 4 bytes each."""
         m = _PLAIN.fullmatch(word)
         if m is None:
-            return self._ids(word)
+            return array("i", self._ids(word)).tobytes()
         letters, marks = m.groups()
         return self._unit(letters.lower()) + self._unit(marks) if marks else self._unit(letters.lower())
 
-    def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin (one more entry than texts)."""
-        data, starts = string_parts(array)
+        data, starts = string_parts(texts)
         if not self.by_word:
             each = [self._ids(bytes(data[a:b]).decode()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             return np.array([i for x in each for i in x], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
@@ -98,9 +100,9 @@ class WordEncoder:
             if at is None:
                 at = new.setdefault(word, base + len(new))
             rows.append(at)
-        learnt = [self._word(w) if w else [] for w in new]
-        new_sizes = np.fromiter(map(len, learnt), np.int64, len(learnt))
-        new_flat = np.fromiter((i for ids in learnt for i in ids), np.int32, int(new_sizes.sum()))
+        learnt = [self._word(w) if w else b"" for w in new]
+        new_sizes = np.fromiter(map(len, learnt), np.int64, len(learnt)) // 4
+        new_flat = np.frombuffer(b"".join(learnt), np.int32)
         sizes, flat = np.concatenate([self.sizes, new_sizes]), np.concatenate([self.flat, new_flat])
         keep = max(0, min(len(new), self.cache_words - base))
         if keep:
