@@ -93,4 +93,14 @@ def op5_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_winnowed_lines": op5_winnowed_lines}
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_winnowed_lines": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+        s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM l),
+        k AS (SELECT *, CASE WHEN s <> '' THEN row_number() OVER (PARTITION BY doc_id, s <> '' ORDER BY i) END AS k FROM s),
+        p AS (SELECT doc_id, k, s, lead(s) OVER (PARTITION BY doc_id ORDER BY k) AS s2 FROM k WHERE k IS NOT NULL),
+        r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY s, s2 ORDER BY doc_id, k) AS n FROM p WHERE s2 IS NOT NULL),
+        cut AS (SELECT doc_id, k FROM r WHERE n > 1 UNION SELECT doc_id, k + 1 FROM r WHERE n > 1)
+        SELECT k.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE cut.k IS NULL), '') AS text, count(k.k)::INTEGER AS n_lines, count(cut.k)::INTEGER AS n_removed
+        FROM k LEFT JOIN cut ON k.doc_id = cut.doc_id AND k.k = cut.k GROUP BY k.doc_id""",
+}
