@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import documents
+from foliant.llm.common import documents, small_batches
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
 SAMPLE = 6000
@@ -117,7 +117,7 @@ def document_frequency(texts: DataFrame, buckets: int = BUCKETS) -> tuple[np.nda
 
     def count(batches):
         total, seen = np.zeros(buckets, np.int64), 0
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             for text in batch.column(0).to_pylist():
                 if text is not None:
                     total[ngram_counts(text, buckets)[0]] += 1
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = sent.value
-        for batch in batches:
+        for batch in small_batches(batches, place):
             found = [model.predict(t) for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
