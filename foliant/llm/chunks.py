@@ -104,7 +104,7 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, within: bool = Fa
     twice = written(all_chunks.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "digests")
     shared = written(all_chunks.join(twice, "d1", "left_semi"), "chunks")
     here = F.struct("doc_id", "t", "ord")
-    first = shared.groupBy("d1", "d2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("NOT (first <=> last)").select("d1", "d2", "first")
+    first = written(shared.groupBy("d1", "d2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("NOT (first <=> last)").select("d1", "d2", "first"), "first")  # a table, so that Spark can split a large key's rows in the join
     later = shared.join(first, ["d1", "d2"]).where(~here.eqNullSafe(F.col("first")))
     if not within:
         later = later.where("NOT (first.doc_id <=> doc_id)")
