@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontaminate, langid, lines, packing, simhash
-from foliant.llm.common import documents, written
+from foliant.llm.common import documents, shorter_batches, written
 
 #: The rows come from models and searches that SQL has no form for.
 ORACLE_SQL = None
@@ -19,12 +19,14 @@ LEAST_SCORE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the learnt languages."""
+    shorter_batches(spark)
     found = langid.identify(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), langid.train(docs))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated runs of lines; n_chars follows the text."""
+    shorter_batches(spark)
     cut = lines.remove_repeated_lines(docs)
     cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     if "n_chars" in docs.columns:
@@ -34,16 +36,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    shorter_batches(spark)
     return simhash.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    shorter_batches(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, each with its sequence and place."""
+    shorter_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -40,7 +40,16 @@ def small(df: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def shorter_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends texts to Python by fewer rows at a time than Spark's default of 10,000, which at some kilobytes a row are tens of megabytes on both sides. A session with a setting of its own keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table; the session sends its texts in shorter batches from then on."""
+    shorter_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

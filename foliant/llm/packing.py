@@ -168,7 +168,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
 
     def cut(batches):
         encode = encoder(tokenizer)
-        for batch in small_batches(batches, most=8 << 20):
+        for batch in small_batches(batches, most=4 << 20):
             rows: dict[str, list] = {"at": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
             for i, ids in enumerate(documents_ids(encode, batch.column(1), end_id)):
                 for piece, start in enumerate(range(0, len(ids), capacity)):

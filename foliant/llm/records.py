@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import documents, fresh_path
+from foliant.llm.common import documents, fresh_path, small_batches
 from foliant.llm.tokens import END_ID, default_tokenizer, documents_ids, encoder
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u4"), ("flags", "<u4")])
@@ -77,7 +77,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
         shard = TaskContext.get().partitionId()
         name = f"{base}/part-{shard:06d}-{uuid.uuid4().hex}"
         out, index, offset, tokens = None, [], 0, 0
-        for batch in batches:
+        for batch in small_batches(batches, most=4 << 20):
             if not batch.num_rows:
                 continue
             if out is None:
