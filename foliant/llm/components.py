@@ -11,17 +11,18 @@ from foliant.llm.common import written
 def components(links: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 60) -> DataFrame:
     """node and root (the smallest node that can be reached) for every node that has a link to another.
 
-    Each round is written to the shared folder. A node's smallest neighbour comes from an aggregation that combines before the shuffle, and then meets the node's links in a join whose large keys Spark can split, so a node with a third of all links is no hot spot."""
+    Each round is written to the shared folder. A node's smallest neighbour comes from an aggregation that combines before the shuffle and is written, too; it then meets the node's links in a join of two tables, whose large keys Spark can split, so a node with a third of all links is no hot spot."""
     edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     edges = written(edges, "links")
     state = _sum(edges)
     for _ in range(most_rounds):
         # large star: a node's larger neighbours go to its smallest one
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node's smaller neighbours and itself go to the smallest one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "links")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
         now = _sum(edges)

@@ -312,9 +312,10 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, parts: int = PA
     table = written(fingerprint_table(docs), "fingerprints")
     distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), radius, parts))
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "root").select("fp", "component_id")
+    joined = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    # tables on both sides of these joins, so that Spark can split a large group's rows
+    least = written(joined.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = written(joined.join(least, "root").select("fp", "component_id"), "named")
     return table.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
