@@ -49,10 +49,11 @@ def repeats(found: DataFrame) -> DataFrame:
     """doc_id, t and starts: the windows of each document that occur earlier. found: a written table of windows()."""
     found = found.where("start IS NOT NULL")
     place = F.struct("doc_id", "t", "at")
-    shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("NOT (a <=> b)").select("fp")
-    seeds = found.join(shared, "fp", "left_semi")
+    # tables on one side, so that Spark can split a large key's rows in the joins
+    shared = written(found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("NOT (a <=> b)").select("fp"), "fps")
+    seeds = written(found.join(shared, "fp", "left_semi"), "seeds")
     here = F.struct("doc_id", "t", "start")
-    first = seeds.groupBy("w1", "w2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("NOT (first <=> last)").select("w1", "w2", "first")
+    first = written(seeds.groupBy("w1", "w2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("NOT (first <=> last)").select("w1", "w2", "first"), "first")
     later = seeds.join(first, ["w1", "w2"]).where(~here.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "t").agg(F.collect_set("start").alias("starts"))
 
@@ -70,7 +71,7 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     place = kept.index("text")
 
     def rewrite(batches):
-        for batch in small_batches(batches, place, 16 << 20):
+        for batch in small_batches(batches, place):
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             starts = columns.pop("starts").to_pylist()
             texts, n, gone = columns["text"].to_pylist(), [], []
