@@ -12,12 +12,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import documents, written
+from foliant.llm.common import documents, small, written
 
 #: Vector of a text: ln(1 + words); ln of the mean word length; ln(1 + symbols, repeated lines, repeated words in a hundred characters, lines, words).
 VECTOR = ("v_words", "v_length", "v_symbols", "v_lines", "v_repeats")
 #: Variances that are added to the covariance's diagonal.
-FLOOR = (0.05, 0.01, 0.25, 1.0, 1.0)
+FLOOR = (0.05, 0.01, 0.1, 1.0, 1.0)
 H_SHARE, STEPS, ACCURACY, LEAST_GROUP = 0.75, 3, 10_000, 50
 #: Tail of the chi-squared distribution beyond which a row is an outlier.
 TAIL = 1e-6
@@ -90,7 +90,7 @@ def _with_distance(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataF
     """rows with d2, their squared distance by their group's params."""
     factors = params.select(*keys, *(f"m{i}" for i in range(len(VECTOR))), *(f"l{i}{j}" for i, j in _PAIRS))
     names = rows.columns
-    joined = rows.join(factors, keys)
+    joined = rows.join(small(factors), keys)
     for i, v in enumerate(VECTOR):
         rest = F.col(v) - F.col(f"m{i}")
         for k in range(i):
@@ -111,7 +111,7 @@ def mcd_params(rows: DataFrame) -> DataFrame:
     Starts: the distances by each group's median and median absolute deviation, and by its plain mean and covariance."""
     p = range(len(VECTOR))
     median = rows.groupBy("g").agg(*(F.percentile_approx(v, 0.5, ACCURACY).alias(f"m{i}") for i, v in enumerate(VECTOR)))
-    off = rows.join(written(median, "median"), "g")
+    off = rows.join(small(written(median, "median")), "g")
     spread = off.groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in p), *((F.pow(F.percentile_approx(F.abs(F.col(VECTOR[i]) - F.col(f"m{i}")), 0.5, ACCURACY) * 1.4826, F.lit(2.0)) + FLOOR[i]).alias(f"c{i}{i}") for i in p))
     spread = _factor(spread.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in _PAIRS if i != j}))
     starts = spread.withColumn("s", F.lit(0)).unionByName(_moments(rows, ["g"], 1.0).withColumn("s", F.lit(1)))
@@ -120,7 +120,7 @@ def mcd_params(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         far = _with_distance(both, params, ["g", "s"])
         limit = written(far.groupBy("g", "s").agg(F.percentile_approx("d2", H_SHARE, ACCURACY).alias("limit")), "limit")
-        params = written(_moments(far.join(limit, ["g", "s"]).where("d2 <= limit"), ["g", "s"], _SCALE), "mcd")
+        params = written(_moments(far.join(small(limit), ["g", "s"]).where("d2 <= limit"), ["g", "s"], _SCALE), "mcd")
     best = Window.partitionBy("g").orderBy("logdet", "s")
     return written(params.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "s"), "mcd")
 
@@ -147,14 +147,14 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     sizes = table.where("NOT base_failed").select(F.explode(F.array(*levels)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     sizes = written(sizes.where(F.col("n") >= LEAST_GROUP), "groups")
     judged = table.where("NOT base_failed").withColumn("g", F.explode(F.array(*levels))).select("g", *VECTOR)
-    params = mcd_params(written(judged.join(sizes.select("g"), "g", "left_semi"), "vectors"))
+    params = mcd_params(written(judged.join(small(sizes.select("g")), "g", "left_semi"), "vectors"))
     # the finest group of each row that has an estimate
     known = params.select("g")
     own = table.select("lang", "source").distinct().withColumn("_g", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), x.alias("g")) for i, x in enumerate(levels)))))
     own = own.join(known, F.col("_g.g") == known["g"], "left_semi").groupBy("lang", "source").agg(F.min("_g").alias("_g"))
     own = own.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("_g.g").alias("g"))
     factors = params.select("g", *(f"m{i}" for i in range(len(VECTOR))), *(f"l{i}{j}" for i, j in _PAIRS))
-    final = table.join(own.join(factors, "g"), table["lang"].eqNullSafe(F.col("_lang")) & table["source"].eqNullSafe(F.col("_source")), "left")
+    final = table.join(small(written(own.join(factors, "g"), "own")), table["lang"].eqNullSafe(F.col("_lang")) & table["source"].eqNullSafe(F.col("_source")), "left")
     for i, v in enumerate(VECTOR):
         rest = F.col(v) - F.col(f"m{i}")
         for k in range(i):
