@@ -1,19 +1,18 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are at most SAMPLE labelled rows in expectation, half of them toxic where there are so many, drawn by a hash of doc_id. Terms are the lower-cased words of the examples, and the beginnings of longer ones, whose presence goes with a label (chi-squared at least CHI2 and LIFT times as frequent with one label as with the other), at most TERMS. Their document frequencies come from all documents; a vector is (1 + ln tf) * ln(N / df), at length one.
+Examples are at most SAMPLE labelled rows in expectation, half of them toxic where there are so many, drawn by a hash of doc_id. A vector holds all lower-cased words of a text, by (1 + ln tf) * ln(N / df), at length one; document frequencies come from all documents. Telling terms weigh TELLING times as much: words, and beginnings of longer words, which are terms of their own, whose presence in the examples goes with a label (chi-squared at least CHI2 and LIFT times as frequent with one label as with the other), at most TERMS. Words that no example has count for a text's length only; their document frequencies are counted in OTHERS slots by hash, and words that share a slot count as one.
 
-The index holds, for each term, postings by blocks of BLOCK examples, and each block's largest weight. A query bounds a block's scores by its terms' largest weights, visits blocks from the highest bound down, and stops where the bound falls below its k-th best score: the K nearest are exact, ties going to the smaller doc_id. Votes are weighted by 1 / (FAR + 1 - cosine). Votes that each example gets from the others, weighted by its label's share of all labelled rows, are made into calibrated scores by isotonic regression. A text without any term gets the share of toxic rows among such examples.
+The index holds, for each term, postings by blocks of BLOCK examples, and each block's largest weight. A query bounds a block's scores by its terms' largest weights, visits blocks from the highest bound down, some at a time, and stops where the bound falls below its k-th best score: the K nearest are exact, ties going to the smaller doc_id. Votes are weighted by 1 / (FAR + 1 - cosine). Votes that each example gets from the others, weighted by its label's share of all labelled rows, are made into calibrated scores by isotonic regression. A text that shares no word with any example gets the share of toxic rows among such examples, or among all where there are none.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Vocabulary, documents, id_type, lowered_words, small_batches, span_hashes, written
+from foliant.llm.common import Vocabulary, documents, id_type, lowered_words, small_batches, span_hashes
 
 SAMPLE, TERMS, CHI2, LIFT, LEAST_DF = 4000, 512, 10.83, 4.0, 5
 #: Beginnings of words must be so many times as frequent with one label: short ones are otherwise too common.
@@ -21,41 +20,53 @@ LIFT_BEGINNING = 40.0
 #: Characters of the beginnings of words that are terms, too: stems are known in forms not seen before.
 BEGINNINGS = (4, 5, 6, 7)
 K, FAR, BLOCK = 15, 0.05, 128
+#: Weight of a telling term beside any other word's 1; slots for the words that no example has.
+TELLING, OTHERS = 8.0, 1 << 18
 TOXIC = 0.7
 
 
 class Terms:
-    """Words, and beginnings of longer words, written with a star."""
-
-    def __init__(self, names: list[str]):
-        self.names = names
-        whole = [i for i, x in enumerate(names) if not x.endswith("*")]
-        begun = [i for i, x in enumerate(names) if x.endswith("*")]
-        self.place = [np.array(x + [-1], np.int64) for x in (whole, begun)]  # the last for words not found
-        self.words, self.beginnings = Vocabulary([names[i] for i in whole]), Vocabulary([names[i][:-1] for i in begun])
-        self.sizes = sorted({len(names[i]) - 1 for i in begun})
+    """All words of the examples (hashes, sorted), telling beginnings of longer words (names with a star), then slots for other words."""
+
+    def __init__(self, names: list[str], hashes: np.ndarray):
+        self.hashes = hashes
+        self.beginnings = Vocabulary([x[:-1] for x in names if x.endswith("*")])
+        self.sizes = sorted({len(x) for x in self.beginnings.words})
+        self.known = len(hashes) + len(self.beginnings.words)
+        self.total = self.known + OTHERS
+        self.telling = np.zeros(self.total, bool)
+        self.telling[np.flatnonzero(np.isin(hashes, Vocabulary([x for x in names if not x.endswith("*")]).hashes))] = True
+        self.telling[len(hashes) : self.known] = True
 
     def counts(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, term and count of each term in each text."""
         data, begin, end, before = lowered_words(array)
-        rows, terms = [], []
-        first = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
-        char = np.searchsorted(first, begin) if self.sizes else begin
-        first = np.append(first, len(data))
-        for size in [0, *self.sizes]:
-            if size:
+        text = np.searchsorted(before, np.arange(len(begin)), "right") - 1
+        own = span_hashes(data, begin, end)
+        at = np.searchsorted(self.hashes, own)
+        found = self.hashes[np.minimum(at, len(self.hashes) - 1)] == own if len(self.hashes) else np.zeros(len(own), bool)
+        rows, terms = [text], [np.where(found, at, self.known + (own % np.uint64(OTHERS)).astype(np.int64))]
+        if self.sizes:
+            first = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+            char = np.searchsorted(first, begin)
+            first = np.append(first, len(data))
+            for size in self.sizes:
                 stop = first[np.minimum(char + size, len(first) - 1)]
                 longer = np.flatnonzero(stop < end)
-                at = self.place[1][self.beginnings.find(span_hashes(data, begin[longer], stop[longer]))]
-            else:
-                longer = np.arange(len(begin))
-                at = self.place[0][self.words.find(span_hashes(data, begin, end))]
-            hit = np.flatnonzero(at >= 0)
-            rows.append(np.searchsorted(before, longer[hit], "right") - 1)
-            terms.append(at[hit])
-        n = max(1, len(self.names))
-        pairs, counts = np.unique(np.concatenate(rows) * n + np.concatenate(terms), return_counts=True)
-        return pairs // n, pairs % n, counts
+                at = self.beginnings.find(span_hashes(data, begin[longer], stop[longer]))
+                rows.append(text[longer[at >= 0]])
+                terms.append(len(self.hashes) + at[at >= 0].astype(np.int64))
+        pairs, counts = np.unique(np.concatenate(rows) * self.total + np.concatenate(terms), return_counts=True)
+        return pairs // self.total, pairs % self.total, counts
+
+
+def word_hashes(texts: list[str]) -> np.ndarray:
+    """The hashes of all words in texts, sorted."""
+    found = np.zeros(0, np.uint64)
+    for at in range(0, len(texts), 500):
+        data, begin, end, _ = lowered_words(pa.array(texts[at : at + 500], pa.string()))
+        found = np.union1d(found, span_hashes(data, begin, end))
+    return found
 
 
 _BEGUN = np.uint64(0xA5A5A5A55A5A5A5A)
@@ -105,46 +116,65 @@ def choose_terms(texts: list[str], toxic: np.ndarray, most: int = TERMS) -> list
     return [w for _, w in sorted(found)[:most]]
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), then the same of the others."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Index:
-    """Examples' vectors as postings by term and block. vectors: (terms, weights) of each, of length one; ids break ties."""
+    """Examples' vectors as postings by term and block. vectors: (terms, weights) of each, of length one; ids break ties. Terms from `terms` on are in no posting."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, terms: int, block: int = BLOCK):
         lead = [int(t[np.argmax(w)]) for t, w in vectors]
         order = sorted(range(len(vectors)), key=lambda i: (lead[i], -float(vectors[i][1].max()), int(ids[i])))  # alike examples share blocks: tight bounds
         self.labels, self.ids, self.block = labels[order], ids[order], block
-        self.size = len(order)
+        self.size, self.terms = len(order), terms
         self.blocks = -(-self.size // block)
-        self.max = np.zeros((terms, self.blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(terms)]
-        lists: dict[tuple[int, int], tuple[list, list]] = {}
-        for place, i in enumerate(order):
-            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True):
-                b = place // block
-                rows, weights = lists.setdefault((t, b), ([], []))
-                rows.append(place - b * block)
-                weights.append(w)
-                self.max[t, b] = max(self.max[t, b], w)
-        for (t, b), (rows, weights) in lists.items():
-            self.postings[t][b] = np.array(rows), np.array(weights)
+        term = np.concatenate([vectors[i][0] for i in order]).astype(np.int64)
+        place = np.repeat(np.arange(self.size), [len(vectors[i][0]) for i in order])
+        by_term = np.argsort(term, kind="stable")  # places stay in order
+        term, self.place = term[by_term], place[by_term]
+        self.weight = np.concatenate([vectors[i][1] for i in order])[by_term]
+        # a cell: the postings of one term in one block
+        cell = term * self.blocks + self.place // block
+        start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        self.cell_start = np.append(start, len(cell))
+        self.cell_block = self.place[start] // block
+        self.max = np.maximum.reduceat(self.weight, start)
+        self.first = np.searchsorted(term[start], np.arange(terms + 1))  # each term's first cell
         self.order = order
         self.visited = 0
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, the nearest first; without: a place to leave out."""
-        bound = weights @ self.max[terms]
+        terms, weights = terms[terms < self.terms], weights[terms < self.terms]
+        n = self.first[terms + 1] - self.first[terms]
+        cells, w = _spread(self.first[terms], n), np.repeat(weights, n)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, w * self.max[cells], self.blocks)
+        order = np.argsort(-bound, kind="stable")
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(places) >= k and bound[b] < scores[-1] - 1e-12:
+        at, step = 0, 4
+        while at < self.blocks:
+            some = order[at : at + step]
+            some = some[(bound[some] > 0) & ((bound[some] >= scores[-1] - 1e-12) if len(places) >= k else True)]
+            if not len(some):
                 break
-            self.visited += 1
-            got = np.zeros(min(self.block, self.size - b * self.block))
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if (own := self.postings[t].get(b)) is not None:
-                    got[own[0]] += w * own[1]
-            if 0 <= without - b * self.block < len(got):
-                got[without - b * self.block] = 0
+            at, step = at + step, 4 * step
+            self.visited += len(some)
+            chosen = np.zeros(self.blocks, bool)
+            chosen[some] = True
+            on = np.flatnonzero(chosen[block])
+            start = self.cell_start[cells[on]]
+            n = self.cell_start[cells[on] + 1] - start
+            post = _spread(start, n)
+            got = np.bincount(self.place.take(post), np.repeat(w[on], n) * self.weight.take(post), self.size)
+            if without >= 0:
+                got[without] = 0
             hit = np.flatnonzero(got > 0)
-            places, scores = np.concatenate([places, hit + b * self.block]), np.concatenate([scores, got[hit]])
+            if len(hit) > k:
+                hit = hit[got[hit] >= np.partition(got[hit], -k)[-k] - 1e-11]
+            places, scores = np.concatenate([places, hit]), np.concatenate([scores, got[hit]])
             best = np.lexsort((self.ids[places], -np.round(scores, 12)))[:k]
             places, scores = places[best], scores[best]
         return places, scores
@@ -170,9 +200,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    def __init__(self, words: list[str]):
-        self.terms = Terms(words)
-        self.idf = np.ones(len(words))
+    def __init__(self, terms: Terms):
+        self.terms = terms
+        self.idf = np.ones(terms.total)  # times the weight of telling terms
         self.index: Index | None = None
         self.steps, self.values = np.zeros(0), np.zeros(0)
         self.weight = np.ones(2)
@@ -200,22 +230,27 @@ class Model:
         return min(1.0, max(0.0, value)), self.index.ids[places].tolist(), cosines.tolist()
 
 
-def counted(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, terms and counts of each row's terms."""
-    known = Terms(words)
+def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
+    """The number of rows of docs that have each term, and that of all rows."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples' words
 
     def run(batches):
-        for batch in small_batches(batches):
-            text, term, n = known.counts(batch.column(1))
-            offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "terms", "counts"])
+        total, rows = np.zeros(sent.value.total, np.int64), 0
+        for batch in small_batches(batches, 0):
+            rows += batch.num_rows
+            total += np.bincount(sent.value.counts(batch.column(0))[1], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"t": pa.array(np.append(at, -1), pa.int64()), "n": pa.array(np.append(total[at], rows), pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, terms array<int>, counts array<int>")
+    found = docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each term
+    t, n = (found.column(i).to_numpy() for i in (0, 1))
+    df = np.zeros(terms.total, np.int64)
+    df[t[t >= 0]] = n[t >= 0]
+    return df, int(n[t < 0].sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
-    """The model, and the term counts of all docs (a written table). labels: doc_id and toxic (0 or 1); rows with a remainder of 1 by 3 or without a label are not learnt from."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model. labels: doc_id and toxic (0 or 1); rows with a remainder of 1 by 3 or without a label are not learnt from."""
     usable = labels.where((F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")), F.lit(1_000_000))
@@ -224,24 +259,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()  # `sample` rows in expectation
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     toxic = np.array([r["toxic"] for r in rows], int)
-    model = Model(choose_terms([r["text"] for r in rows], toxic))
-    table = written(counted(docs, model.terms.names), "terms")
-
-    def frequency(batches):
-        total = np.zeros(len(model.terms.names), np.int64)
-        for batch in batches:
-            total += np.bincount(pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"t": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
-
-    df = {r["t"]: r["n"] for r in table.select("terms").mapInArrow(frequency, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    total = table.count()
-    model.idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1e-6 for i in range(len(model.terms.names))])
+    texts = [r["text"] for r in rows]
+    model = Model(Terms(choose_terms(texts, toxic), word_hashes(texts)))
     if not len(rows):
-        return model, table
+        return model
+    df, total = document_frequencies(docs, model.terms)
+    model.idf = (np.log((1 + total) / (1 + df)) + 1e-6) * np.where(model.terms.telling, TELLING, 1.0)
     share = np.array([sizes.get(i, 0) / max(1, int((toxic == i).sum())) for i in (0, 1)])
     model.weight = share
-    text, term, n = model.terms.counts(pa.array([r["text"] for r in rows], pa.string()))
+    text, term, n = model.terms.counts(pa.array(texts, pa.string()))
     cut = np.searchsorted(text, np.arange(len(rows) + 1))
     own = [(term[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     full = [i for i, (t, _) in enumerate(own) if len(t)]
@@ -249,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     w = share[toxic]
     model.base = float((w[bare] * toxic[bare]).sum() / w[bare].sum()) if bare else float((w * toxic).sum() / w.sum())
     if full:
-        model.index = Index([model.vector(*own[i]) for i in full], toxic[full], np.array([int(rows[i]["doc_id"]) for i in full]), len(model.terms.names))
+        model.index = Index([model.vector(*own[i]) for i in full], toxic[full], np.array([int(rows[i]["doc_id"]) for i in full]), model.terms.known)
         votes, truth = [], []
         for place, j in enumerate(model.index.order):
             v = model.raw(*own[full[j]], without=place)[0]
@@ -258,31 +284,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
                 truth.append(full[j])
         if votes:
             model.steps, model.values = isotonic(np.array(votes), toxic[truth].astype(float), w[truth])
-    return model, table
+    return model
+
 
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, score, predicted, evidence (doc_ids of the nearest examples) and cosines.
 
-def score_table(table: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted, evidence (doc_ids of the nearest examples) and cosines for each row of counted()."""
-    sent = table.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and TERMS
-    kind = id_type(table)
+    Null and empty texts, and texts that share no word with an example, have the score of examples without a word, or that of all where there are none. Repeated rows are scored each; an empty table gives no rows; without labels every score is 0; other columns are ignored."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))  # bounded by SAMPLE
 
     def run(batches):
         model = sent.value
-        for batch in batches:
-            term, n = (batch.column(i).to_pylist() for i in (1, 2))
-            found = [model.score(np.array(t, np.int64), np.array(c, float)) for t, c in zip(term, n, strict=True)]
+        for batch in small_batches(batches):
+            text, term, n = model.terms.counts(batch.column(1))
+            cut = np.searchsorted(text, np.arange(batch.num_rows + 1)).tolist()
+            found = [model.score(term[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             scores = [x[0] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= TOXIC) for x in scores], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.list_(pa.float64()))], names=["doc_id", "score", "predicted", "evidence", "cosines"])
 
-    return table.select("doc_id", "terms", "counts").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<bigint>, cosines array<double>")
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, score, predicted, evidence, cosines.
-
-    Null and empty texts and texts without a term have the score of examples without a term. Repeated rows are scored each; an empty table gives no rows; without labels every score is 0; other columns are ignored."""
-    model, table = train(docs, labels, sample)
-    return score_table(table, model)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, score double, predicted int, evidence array<bigint>, cosines array<double>")
 
 
 def op8_blockmax_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

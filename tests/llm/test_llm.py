@@ -407,6 +407,18 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_compares_texts_without_telling_terms(spark):
+    rows = [(i, prose(2), int(i % 40 == 0)) for i in range(200)]
+    rows += [(500 + i, prose(2) + " crudwort", 1) for i in range(40)]
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    used = [(i, t) for i, t, x in rows if x and i < 200 and zlib.crc32(str(i).encode()) % 3 != 1]
+    copies = [(1000 + i, t) for i, t in used] + [(2000, "zzz1 zzz2 " + used[0][1])]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame([r[:2] for r in rows] + copies, "doc_id long, text string"), labels).collect()}
+    for i, _ in used:
+        assert got[1000 + i].evidence[0] == i and abs(got[1000 + i].cosines[0] - 1) < 1e-9
+    assert got[2000].evidence[0] == used[0][0] and 0.5 < got[2000].cosines[0] < 0.999  # words that no example has count for the length
+
+
 def slow_counts(text):
     words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
