@@ -447,6 +447,26 @@ def test_quality_outliers(spark):
     assert not any(got[1000 + i].kept for i in range(6)) and sum(got[i].kept for i in range(150)) == 150
 
 
+def test_quality_repeated_lines_alone_are_outliers(spark):
+    repeating = lambda share: prose(20, 16) + "\nOk." * round(share / (1 - share) * 20 + 1)
+    rows = [(i, prose(20, 16), "en", "a") for i in range(150)] + [(1000 + i, repeating(0.6 + 0.05 * i), "en", "a") for i in range(3)]
+    got = {r.doc_id: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[1000 + i].base_failed or got[1000 + i].kept for i in range(3)) and all(got[i].kept for i in range(150))
+    for floor in quality.FLOOR[3:]:  # up to the fixed limit's half of the words, and half of the lines
+        assert np.log(51) ** 2 / floor > quality.CUT
+
+
+def test_mcd_steps_until_the_determinant_stays(spark):
+    x = np.random.default_rng(8).normal(size=(300, 5))
+    x[:70] = x[:70] * 0.3 + 3
+    table = common.written(spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{v} double" for v in quality.VECTOR)), "test")
+    params = quality.mcd_params(table)
+    far = quality._with_distance(table, params, ["g"])
+    limit = far.agg(F.percentile_approx("d2", quality.H_SHARE, quality.ACCURACY)).first()[0]
+    again = quality._moments(far.where(F.col("d2") <= limit), ["g"], quality._SCALE).first()
+    assert again.logdet > params.first().logdet - 1e-5
+
+
 def test_mcd_against_numpy(spark):
     x = np.random.default_rng(4).normal(size=(400, 5)) @ np.diag([1, 2, 1.5, 1, 3]) + 5
     x[:60] += 25
