@@ -1,6 +1,6 @@
 """Personal data: patterns, and a character-level BiLSTM-CRF that adds spans the patterns miss.
 
-The patterns' spans always stay. The tagger is trained on the driver from labelled spans: those of the patterns in a bounded sample of documents, and forms made up by rules (numbers without a plus, addresses written with brackets) set into the sample's texts. It then reads whole texts in overlapping windows. A span has to hold a digit or an `@`, as all four kinds do, so windows without either are settled without running the network; all others are decoded. Where windows overlap, each character takes its tag from the window in which it lies farthest from an edge, and spans are put together over the whole text. A span that the tagger adds must also be sound for its kind (digits, parts, Luhn) and touch no other span.
+The patterns' spans always stay. The tagger is trained on the driver from labelled spans: those of the patterns in a bounded sample of documents, and forms made up by rules (numbers without a plus, addresses written with brackets) set into the sample's texts. It then reads whole texts in overlapping windows. A sound span holds a digit, an `@` or a bracketed `at`, so windows without any of them are settled without running the network; all others are decoded. Where windows overlap, each character takes its tag from the window in which it lies farthest from an edge, and spans are put together over the whole text. A span that the tagger adds must also be sound for its kind (digits, parts, Luhn) and touch no other span.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match that begins inside a run of digits would begin at the run's first
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]")
 
 
 def luhn(digits: str) -> bool:
@@ -74,7 +74,7 @@ def sound(kind: str, text: str) -> bool:
     """Whether a span that the tagger adds can be of its kind."""
     digits = _digits(text)
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[] ?at ?[)\]]) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[] ?dot ?[)\]]) ?[A-Za-z0-9-]+)+", text)) and any(c in text for c in "@0123456789")
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[] ?at ?[)\]]) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[] ?dot ?[)\]]) ?[A-Za-z0-9-]+)+", text))
     if kind == "ip":
         parts = re.split(r" ?\. ?|\[\.\]", text)
         return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
@@ -105,8 +105,8 @@ def _made_up(r: np.random.Generator) -> tuple[str, str]:
     word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, r.integers(3, 9)))
     kind = KINDS[r.integers(0, 4)]
     if kind == "email":
-        at, dot = [("@", "."), ("@", "."), (" [at] ", " [dot] "), (" (at) ", "."), (" @ ", ".")][r.integers(0, 5)]
-        return kind, f"{word()}{['', '.', '_'][r.integers(0, 3)]}{word()}{n(int(r.integers(1, 4)))}{at}{word()}{dot}{['com', 'org', 'net', 'example'][r.integers(0, 4)]}"
+        at, dot = [("@", "."), ("@", "."), (" [at] ", " [dot] "), (" [at] ", " [dot] "), (" (at) ", "."), (" (at) ", "."), (" @ ", ".")][r.integers(0, 7)]
+        return kind, f"{word()}{['', '.', '_'][r.integers(0, 3)]}{word()}{n(int(r.integers(0, 2) * r.integers(1, 4)))}{at}{word()}{dot}{['com', 'org', 'net', 'example'][r.integers(0, 4)]}"
     if kind == "ip":
         return kind, [".", ".", "[.]", " . "][r.integers(0, 4)].join(str(x) for x in r.integers(0, 256, 4))
     if kind == "card":
