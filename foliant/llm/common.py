@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 
@@ -14,14 +16,25 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (one machine, tests) a temporary folder is chosen and kept for the session."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("foliant.shared.dir", None)
+    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, else the context's checkpoint folder. Where neither is set and Spark runs on this machine alone, a temporary folder is chosen, kept for the session and deleted with it; a cluster without a shared folder is refused."""
+    found = spark.conf.get("foliant.shared.dir", None)
+    if found:
+        return found
+    context = spark.sparkContext
+    ours = context._jsc.sc().getCheckpointDir()
+    found = context.getConf().get("spark.checkpoint.dir") or (ours.get() if ours.isDefined() else None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("foliant.shared.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="foliant-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
+    path = context._jvm.org.apache.hadoop.fs.Path(found)
+    found = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not ours.isDefined():
+        context.setCheckpointDir(found)
+    spark.conf.set("foliant.shared.dir", found)
+    return found
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -32,7 +45,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and its lineage ends there."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._foliant_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._foliant_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken, head = {c.lower() for c in df.columns}, "_"
+    while any(f"{head}{n}".lower() in taken for n in names):
+        head += "_"
+    return [f"{head}{n}" for n in names]
 
 
 def small(df: DataFrame, most: int = 20_000) -> DataFrame:

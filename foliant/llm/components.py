@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import forget, written
 
 
 def components(links: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 60) -> DataFrame:
@@ -22,9 +22,11 @@ def components(links: DataFrame, u: str = "u", v: str = "v", most_rounds: int =
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node's smaller neighbours and itself go to the smallest one
         large = written(large, "links")
+        forget(edges, least)
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        forget(large, low)
         now = _sum(edges)
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

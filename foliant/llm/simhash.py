@@ -1,8 +1,10 @@
 """SimHash fingerprints and exact near pairs from a forest of vantage-point trees.
 
-A link is a pair of fingerprints that differ in at most `radius` of 64 bits. The bits are split into equal parts; two linked fingerprints differ in at most radius // parts bits of at least one part (with four parts and radius 4: one bit). Hamming distance on a part obeys the triangle inequality, so each part has a vantage-point tree: an inner node holds a vantage code and the median distance to it, codes nearer than that go left, others right, and a search with the part's radius skips a branch where the triangle bounds exclude it. Leaves are the shards. Each fingerprint lives in one leaf a tree and is sent as a query to all leaves that its search reaches, so every linked pair meets in at least one leaf; there the part's codes are compared first, then whole fingerprints.
+A link is a pair of fingerprints that differ in at most `radius` of 64 bits. The bits are split into PARTS parts; two linked fingerprints differ in at most radius // parts bits of at least one part (with three parts and radius 4: one bit of 21 or 22). Hamming distance on a part obeys the triangle inequality, so each part has a vantage-point tree: an inner node holds a vantage code and a distance, codes up to that distance go left, others right, and a search skips a branch where the triangle bounds exclude it. Trees grow until a leaf holds about LEAF fingerprints or codes can't be told apart; there is no bound on depth. Their upper nodes, down to about SHARD fingerprints, are grown on the driver; the nodes below in the task that holds the shard.
 
-Trees are built from a bounded sample of the distinct fingerprints (SAMPLE), which decides only how evenly leaves are filled; every fingerprint is indexed and no pair is lost. A leaf with more fingerprints than TILE is split into tiles by a salt, and queries go to each of its tiles. Equal fingerprints are one entry, so a group of copies costs one. Within a tile links become a spanning forest before they leave the task.
+Each fingerprint lives in one shard a tree. A linked pair parts at one node, where the left one is near enough to the boundary: so only fingerprints on the left within the radius of a boundary are copied to the right branch, and from there on to every shard that their search reaches. A fingerprint's ball has 1 + 22 codes, so it has at most so many copies a tree, however many shards there are.
+
+The upper nodes come from a bounded sample of the distinct fingerprints (SAMPLE), which decides only how evenly shards are filled; every fingerprint is indexed and no pair is lost. A shard's task grows the tree on over all rows that live there, first by the part's codes, then by whole fingerprints where a dense group shares a code, and compares what meets in its leaves. A shard with more homes or copies than TILE is split into a grid of tiles by salts, on both sides. Equal fingerprints are one entry, so a group of copies costs one. Within a tile links become a spanning forest before they leave the task.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SPACE, documents, forest, id_type, small_batches, string_parts, word_spans, written
+from foliant.llm.common import SPACE, documents, forest, id_type, small_batches, string_parts, unused, word_spans, written
 from foliant.llm.components import components
 
-SHINGLE, SEED, RADIUS, PARTS = 4, 42, 4, 4
-SAMPLE = 8192
-TILE = 8192
-MOST_DEPTH = 8
+SHINGLE, SEED, RADIUS, PARTS = 4, 42, 4, 3
+#: Fingerprints that the upper nodes are grown from at most, how many a shard is to hold, and how many a leaf.
+SAMPLE, SHARD, LEAF = 1 << 16, 4096, 256
+#: Homes and copies of a shard that meet in one task at most.
+TILE = 1 << 16
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -129,173 +132,182 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """A vantage-point tree over the codes of one part of the bits."""
+    """A vantage-point tree over codes; a leaf has at most `leaf` of them, or codes that no vantage tells apart."""
 
-    def __init__(self, codes: np.ndarray, depth: int):
+    def __init__(self, codes: np.ndarray, leaf: float, radius: int):
+        self.radius = radius
         self.nodes: list[tuple[int, int, int, int]] = []  # vantage code, distance that still goes left, left, right; children below 0 are leaves
         self.leaves = 0
-        self.root = self._grow(codes, depth)
+        self.root = 0
+        open_: list[tuple[np.ndarray, int, int]] = [(codes, -1, 0)]  # codes, the node above, and which of its children this is
+        while open_:
+            some, above, side = open_.pop()
+            best = self._split(some) if len(some) > leaf else None
+            if best is None:
+                self.leaves += 1
+                at = -self.leaves
+            else:
+                at = len(self.nodes)
+                self.nodes.append((*best, 0, 0))
+                near = np.bitwise_count(some ^ np.uint64(best[0])) <= best[1]
+                open_ += [(some[near], at, 2), (some[~near], at, 3)]
+            if above < 0:
+                self.root = at
+            else:
+                node = list(self.nodes[above])
+                node[side] = at
+                self.nodes[above] = tuple(node)
 
-    def _grow(self, codes: np.ndarray, depth: int) -> int:
+    def _split(self, codes: np.ndarray) -> tuple[int, int] | None:
+        """The vantage and distance with the least work below: rows of the larger side and those that are copied."""
         best = None
-        if depth and len(codes) > 1:
-            for vantage in np.unique(codes[np.linspace(0, len(codes) - 1, 12).astype(int)]).tolist():
-                far = np.bitwise_count(codes ^ np.uint64(vantage))
-                half = int(np.median(far))
-                for mu in (half - 1, half):
-                    left = int((far <= mu).sum())
-                    rest = len(codes) - left
-                    if left and rest:
-                        near = int(((far == mu) | (far == mu + 1)).sum())  # goes both ways
-                        cost = max(left, rest) + near
-                        if best is None or cost < best[0]:
-                            best = cost, vantage, mu
-        if best is None:
-            self.leaves += 1
-            return -self.leaves
-        _, vantage, mu = best
-        at = len(self.nodes)
-        self.nodes.append((vantage, mu, 0, 0))
-        far = np.bitwise_count(codes ^ np.uint64(vantage))
-        left, right = self._grow(codes[far <= mu], depth - 1), self._grow(codes[far > mu], depth - 1)
-        self.nodes[at] = vantage, mu, left, right
-        return at
-
-    def search(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which code reaches which leaf (from 0), where everything within radius of it lies."""
-        rows, leaves = [], []
-        open_ = [(self.root, np.arange(len(codes)))]
+        for vantage in np.unique(codes[np.linspace(0, len(codes) - 1, 12).astype(int)]).tolist():
+            upto = np.cumsum(np.bincount(np.bitwise_count(codes ^ np.uint64(vantage)), minlength=65))
+            mu = np.flatnonzero((upto > 0) & (upto < len(codes)))
+            if len(mu):
+                copied = upto[mu] - np.where(mu >= self.radius, upto[np.maximum(0, mu - self.radius)], 0)
+                cost = np.maximum(upto[mu], len(codes) - upto[mu]) + copied
+                i = int(np.argmin(cost))
+                if best is None or cost[i] < best[0]:
+                    best = int(cost[i]), vantage, int(mu[i])
+        return best and best[1:]
+
+    def search(self, codes: np.ndarray, lives: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which code reaches which leaf (from 0), and whether it lives there. lives: codes that are in the tree (all, unless given); the others are only searched for. Any two codes within the radius, one of them in the tree, meet in a leaf where at least one lives."""
+        rows, leaves, homes = [], [], []
+        open_ = [(self.root, np.arange(len(codes)), np.ones(len(codes), bool) if lives is None else lives)]
         while open_:
-            node, some = open_.pop()
+            node, some, home = open_.pop()
             if not len(some):
                 continue
             if node < 0:
                 rows.append(some)
                 leaves.append(np.full(len(some), -node - 1))
+                homes.append(home)
                 continue
             vantage, mu, left, right = self.nodes[node]
             far = np.bitwise_count(codes[some] ^ np.uint64(vantage)).astype(np.int64)
-            open_ += [(left, some[far - radius <= mu]), (right, some[far + radius > mu])]
-        return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, int), np.zeros(0, int))
+            # one that lives here goes to its own side, and as a copy from the left to the right; a copy goes wherever its ball reaches
+            to_left = np.where(home, far <= mu, far - self.radius <= mu)
+            to_right = far + self.radius > mu
+            open_ += [(left, some[to_left], home[to_left]), (right, some[to_right], (home & (far > mu))[to_right])]
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.concatenate(rows), np.concatenate(leaves), np.concatenate(homes)
 
 
 class Forest:
     """A tree for each part of the bits."""
 
     def __init__(self, sample: np.ndarray, total: int, radius: int = RADIUS, parts: int = PARTS):
-        self.radius, self.part_radius, self.parts, self.width = radius, radius // parts, parts, 64 // parts
-        depth = min(MOST_DEPTH, max(0, int(np.ceil(np.log2(max(1, total) / TILE)))))
-        self.trees = [Tree(self.codes(sample, p), depth) for p in range(parts)]
+        self.radius, self.parts = radius, parts
+        self.cuts = [64 * p // parts for p in range(parts + 1)]
+        of_sample = max(4.0, SHARD * len(sample) / max(1, total))  # what a shard holds of the sample
+        self.trees = [Tree(self.codes(sample, p), of_sample, radius // parts) for p in range(parts)]
 
     def codes(self, fps: np.ndarray, part: int) -> np.ndarray:
-        return fps.view(np.uint64) >> np.uint64(part * self.width) & np.uint64((1 << self.width) - 1)
+        low, high = self.cuts[part], self.cuts[part + 1]
+        return fps.view(np.uint64) >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
 
-    def shard(self, part: int, leaf: np.ndarray) -> np.ndarray:
-        return leaf * self.parts + part
-
-    def homes(self, fps: np.ndarray) -> list[np.ndarray]:
+    def search(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which fingerprint reaches which shard, and whether it lives there."""
         found = []
         for p, tree in enumerate(self.trees):
-            row, leaf = tree.search(self.codes(fps, p), 0)
-            own = np.empty(len(fps), np.int64)
-            own[row] = leaf
-            found.append(self.shard(p, own))
-        return found
-
-    def queries(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, shards = [], []
-        for p, tree in enumerate(self.trees):
-            row, leaf = tree.search(self.codes(fps, p), self.part_radius)
-            rows.append(row)
-            shards.append(self.shard(p, leaf))
-        return np.concatenate(rows), np.concatenate(shards)
-
-
-def near_pairs(home: np.ndarray, query: np.ndarray, code, part_radius: int, radius: int):
-    """Blocks of (query place, home place) of different fingerprints within radius. Only pairs whose codes are within part_radius are looked at."""
-    hc, qc = code(home), code(query)
-    ho, qo = np.argsort(hc, kind="stable"), np.argsort(qc, kind="stable")
-    hu, hs = np.unique(hc[ho], return_index=True)
-    qu, qs = np.unique(qc[qo], return_index=True)
-    hn, qn = np.diff(np.append(hs, len(ho))), np.diff(np.append(qs, len(qo)))
-    for a in range(0, len(qu), max(1, (1 << 21) // max(1, len(hu)))):
-        some = qu[a : a + max(1, (1 << 21) // max(1, len(hu)))]
-        i, j = np.nonzero(np.bitwise_count(some[:, None] ^ hu[None, :]) <= part_radius)
-        i += a
-        pairs = qn[i] * hn[j]
-        done = 0
-        while done < len(i):
-            # a block of code pairs with a bounded number of pairs; a single larger one goes by slices of its queries
-            upto = max(done + 1, done + int(np.searchsorted(np.cumsum(pairs[done:]), 1 << 21)))
-            if upto == done + 1 and pairs[done] > 1 << 21:
-                own = ho[hs[j[done]] : hs[j[done]] + hn[j[done]]]
-                step = max(1, (1 << 21) // len(own))
-                for b in range(0, int(qn[i[done]]), step):
-                    q = qo[qs[i[done]] + b : qs[i[done]] + min(b + step, qn[i[done]])]
-                    yield _close(home, query, np.repeat(q, len(own)), np.tile(own, len(q)), radius)
+            row, leaf, home = tree.search(self.codes(fps, p))
+            found.append((row, leaf * self.parts + p, home))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _meet(fps: np.ndarray, home: np.ndarray, radius: int):
+    """Blocks of places of fingerprints within radius, one of which lives here."""
+    own = np.flatnonzero(home)
+    step = max(1, (1 << 20) // max(1, len(own)))
+    for a in range(0, len(fps), step):
+        far = np.bitwise_count(fps[a : a + step, None] ^ fps[own][None, :])
+        i, j = np.nonzero(far <= radius)
+        i, j = i + a, own[j]
+        keep = (i > j) | ~home[i]
+        yield i[keep], j[keep]
+
+
+def near_pairs(fps: np.ndarray, home: np.ndarray, codes: np.ndarray, code_radius: int, radius: int):
+    """Blocks of places of fingerprints within radius, at least one of which lives here (home): a tree over the codes, then over whole fingerprints, leads to the pairs."""
+
+    def below(some: np.ndarray, lives: np.ndarray, by: np.ndarray, reach: int, rest: bool):
+        if lives.sum() <= LEAF or not len(some):
+            for i, j in _meet(fps[some], lives, radius):
+                yield some[i], some[j]
+            return
+        tree = Tree(by[some[lives]], LEAF, reach)
+        row, at, own = tree.search(by[some], lives)
+        order = np.argsort(at, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            if not own[part].any():
+                continue
+            if rest:
+                yield from below(some[row[part]], own[part], fps, radius, False)
             else:
-                n = pairs[done:upto]
-                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                many = np.repeat(hn[j[done:upto]], n)
-                yield _close(home, query, qo[np.repeat(qs[i[done:upto]], n) + place // many], ho[np.repeat(hs[j[done:upto]], n) + place % many], radius)
-            done = upto
+                for i, j in _meet(fps[some[row[part]]], own[part], radius):
+                    yield some[row[part]][i], some[row[part]][j]
 
-
-def _close(home, query, q, h, radius):
-    far = np.bitwise_count(query[q] ^ home[h])
-    hit = (far <= radius) & (far > 0)
-    return q[hit], h[hit]
+    yield from below(np.arange(len(fps)), home, codes, code_radius, True)
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """Links u, v that connect just what the pairs of different fingerprints within radius connect. distinct: a written table with fp, each once."""
-    spark = distinct.sparkSession
     total = distinct.count()
-    sample = np.array([r["fp"] for r in distinct.select("fp", F.xxhash64("fp").alias("_h")).orderBy("_h", "fp").limit(SAMPLE).collect()], np.int64)
-    trees = Forest(sample, total, radius, parts)
+    drawn = distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(SAMPLE).toArrow()  # SAMPLE longs
+    trees = Forest(drawn.column("fp").to_numpy(), total, radius, parts)
+    tile = TILE
 
-    def home(batches):
+    def places(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"fp": np.tile(fps, parts), "shard": np.concatenate(trees.homes(fps))})
+            for a in range(0, len(fps), 4096):
+                row, shard, home = trees.search(fps[a : a + 4096])
+                yield pa.RecordBatch.from_pydict({"fp": fps[a : a + 4096][row], "shard": shard, "home": home})
 
-    # a row for each leaf: parts * 2 ** MOST_DEPTH at most
-    filled = {r["shard"]: r["n"] for r in distinct.select("fp").mapInArrow(home, "fp long, shard long").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    most = max([0, *filled]) + 1
-    tiles = np.ones(max(most, parts << MOST_DEPTH), np.int64)
-    for shard, n in filled.items():
-        tiles[shard] = -(-n // TILE)
+    placed = distinct.select("fp").mapInArrow(places, "fp long, shard long, home boolean")
+    # shards that need a grid: at most a few for each TILE rows, and no more than the sample's leaves
+    sizes = placed.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("n")).where(F.col("n") > tile).collect()
+    grid = {r["shard"]: (-(-r["homes"] // tile), -(-r["n"] // tile)) for r in sizes}
 
     def deal(batches):
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for a in range(0, len(fps), 4096):
-                some = fps[a : a + 4096]
-                shard = np.concatenate(trees.homes(some))
-                fp = np.tile(some, parts)
-                tile = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % tiles[shard]
-                row, asked = trees.queries(some)
-                n = tiles[asked]
-                row, asked = np.repeat(row, n), np.repeat(asked, n)
-                to = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_pydict({"fp": np.concatenate([fp, some[row]]), "shard": np.concatenate([shard, asked]), "tile": np.concatenate([tile, to]), "home": np.concatenate([np.ones(len(fp), bool), np.zeros(len(row), bool)])})
+        """Rows with the tile where they meet: x of the homes, y of all that compare with them."""
+        names = np.array(sorted(grid), np.int64)
+        wide = np.array([grid[k] for k in names.tolist()], np.int64).reshape(-1, 2)
+        for batch in places(batches):
+            fp, shard, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            at = np.minimum(np.searchsorted(names, shard), max(0, len(names) - 1))
+            hot = names[at] == shard if len(names) else np.zeros(len(shard), bool)
+            # role 2: lives here and is compared, 1: lives here, 0: is compared
+            out = [(fp[~hot], shard[~hot], np.zeros((~hot).sum(), np.int64), np.where(home[~hot], 2, 0))]
+            for own_role, some in ((1, np.flatnonzero(hot & home)), (0, np.flatnonzero(hot))):
+                x, y = wide[at[some], 0], wide[at[some], 1]
+                salt = (fp[some].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                n = y if own_role else x
+                to = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                fixed = np.repeat(salt % (x if own_role else y), n)
+                cell = fixed * np.repeat(y, n) + to if own_role else to * np.repeat(y, n) + fixed
+                out.append((np.repeat(fp[some], n), np.repeat(shard[some], n), cell, np.full(len(cell), own_role)))
+            fp, shard, cell, role = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_pydict({"fp": fp, "shard": shard, "tile": cell.astype(np.int32), "role": role.astype(np.int8)})
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["shard"].iloc[0]) % parts
-        fps, is_home = pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy()
-        own, asked = fps[is_home], fps[~is_home]
+        fps, role = pdf["fp"].to_numpy().view(np.uint64), pdf["role"].to_numpy()
         names = np.unique(fps)
+        place = np.searchsorted(names, fps)
         pu, pv = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        iu, iv = np.searchsorted(names, asked), np.searchsorted(names, own)
-        for q, h in near_pairs(own, asked, lambda x: trees.codes(x, part), trees.part_radius, radius):
-            if len(q):
-                pu, pv = np.concatenate([pu, iu[q]]), np.concatenate([pv, iv[h]])
-                if len(pu) > 1 << 20:
-                    pu, pv = _tree(len(names), pu, pv)
+        for i, j in near_pairs(fps, role > 0, trees.codes(fps, part), radius // parts, radius):
+            i, j = place[i], place[j]
+            pu, pv = np.concatenate([pu, i[i != j]]), np.concatenate([pv, j[i != j]])
+            if len(pu) > 1 << 20:
+                pu, pv = _tree(len(names), pu, pv)
         pu, pv = _tree(len(names), pu, pv)
         return pd.DataFrame({"u": names[pu].view(np.int64), "v": names[pv].view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "fp long, shard long, tile long, home boolean")
+    dealt = distinct.select("fp").mapInArrow(deal, "fp long, shard long, tile int, role byte")
     return dealt.groupBy("shard", "tile").applyInPandas(search, "u long, v long")
 
 
@@ -322,15 +334,16 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, parts: int = PA
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each group: the one whose id is the component's. Rows that are alike in doc_id and text are one document; of rows that share the least id the one with the smallest text stays."""
     columns = docs.columns
-    table = written(docs.select("doc_id", "text").mapInArrow(_with_fp, f"doc_id {id_type(docs)}, text string, fp long").select("doc_id", "fp", F.xxhash64("text").alias("_t")), "fingerprints")
-    distinct = written(table.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_t")).alias("least")), "distinct")
+    key, number, own_id, own_key = unused(docs, "key", "number", "own_id", "own_key")
+    table = written(docs.select("doc_id", "text").mapInArrow(_with_fp, f"doc_id {id_type(docs)}, text string, fp long").select("doc_id", "fp", F.xxhash64("text").alias("t")), "fingerprints")
+    distinct = written(table.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("least")), "distinct")
     roots = components(links(distinct.select("fp")))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    stays = joined.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least._t").alias("_text"))
-    kept = docs.withColumn("_t", F.xxhash64("text"))
-    kept = kept.join(stays, kept["doc_id"].eqNullSafe(stays["_id"]) & (kept["_t"] == stays["_text"]), "left_semi")
-    if table.groupBy("doc_id", "_t").count().where("count > 1").limit(1).count():
-        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))).where("_n = 1")
+    stays = joined.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(own_id), F.col("least.t").alias(own_key))
+    kept = docs.withColumn(key, F.xxhash64("text"))
+    kept = kept.join(stays, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)), "left_semi")
+    if table.groupBy("doc_id", "t").count().where("count > 1").limit(1).count():
+        kept = kept.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(key))).where(F.col(number) == 1)
     return kept.select(*columns)
 
 

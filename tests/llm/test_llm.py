@@ -213,38 +213,75 @@ def test_fingerprints():
     assert simhash.fingerprints(pa.array(texts, pa.string())).tolist() == [slow_fingerprint(t) for t in texts]
 
 
-@pytest.mark.parametrize("tile", [64, 100_000])
-def test_forest_finds_all_links(spark, monkeypatch, tile):
-    monkeypatch.setattr(simhash, "TILE", tile)
-    base = R.integers(0, 1 << 63, 400, dtype=np.uint64)
-    near = base[:200].copy()
-    for i in range(len(near)):
-        for b in R.choice(64, R.integers(1, 7), replace=False):
-            near[i] ^= np.uint64(1 << int(b))
-    ball = base[0] ^ np.array([1 << a | 1 << b for a, b in combinations(range(30), 2)], np.uint64)
-    fps = np.unique(np.concatenate([base, near, ball]))
+def same_groups(spark, fps):
+    """The forest's groups and those of all pairs."""
     table = common.written(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), "test")
     roots = {r.node: r.root for r in components(simhash.links(table)).collect()}
     u, v = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
     label = common.forest(len(fps), u, v)
-    signed = fps.view(np.int64).tolist()
     groups, want = {}, {}
-    for i, x in enumerate(signed):
+    for i, x in enumerate(fps.view(np.int64).tolist()):
         groups.setdefault(roots.get(x, x), set()).add(x)
         want.setdefault(int(label[i]), set()).add(x)
-    assert {frozenset(x) for x in groups.values()} == {frozenset(x) for x in want.values()}
+    return {frozenset(x) for x in groups.values()}, {frozenset(x) for x in want.values()}
+
+
+def some_fingerprints(n=400):
+    base = R.integers(0, 1 << 63, n, dtype=np.uint64)
+    near = base[: n // 2].copy()
+    for i in range(len(near)):
+        for b in R.choice(64, R.integers(1, 7), replace=False):
+            near[i] ^= np.uint64(1 << int(b))
+    ball = base[0] ^ np.array([1 << a | 1 << b for a, b in combinations(range(30), 2)], np.uint64)
+    return np.unique(np.concatenate([base, near, ball]))
+
+
+@pytest.mark.parametrize("tile, shard, leaf", [(64, 64, 16), (1 << 16, 16, 8)])
+def test_forest_finds_all_links(spark, monkeypatch, tile, shard, leaf):
+    for name, value in (("TILE", tile), ("SHARD", shard), ("LEAF", leaf)):
+        monkeypatch.setattr(simhash, name, value)
+    found, want = same_groups(spark, some_fingerprints())
+    assert found == want
+
+
+def test_forest_as_it_is_in_production(spark):
+    fps = some_fingerprints(1000)
+    assert simhash.Tree(fps & np.uint64((1 << 21) - 1), simhash.LEAF, 1).nodes  # what a task grows
+    many = R.integers(0, 1 << 63, 10_000, dtype=np.uint64)
+    assert all(t.nodes for t in simhash.Forest(many.view(np.int64), len(many)).trees)
+    found, want = same_groups(spark, fps)
+    assert found == want
+
+
+def test_copies_are_bounded_by_the_ball():
+    for n in (2_000, 20_000, 100_000):
+        fps = R.integers(0, 1 << 63, n, dtype=np.uint64)
+        row, _, home = simhash.Forest(fps.view(np.int64), n).search(fps)
+        assert home.sum() == 3 * n and len(row) < 3 * n * (1 + 22)
+
+
+def test_near_pairs_in_a_shard(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    fps = some_fingerprints()
+    home = R.random(len(fps)) < 0.4
+    far = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    codes = fps & np.uint64((1 << 21) - 1)
+    got = {(min(i, j), max(i, j)) for a, b in simhash.near_pairs(fps, home, codes, 1, 4) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j}
+    want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(far <= 4)), strict=True) if i < j and (home[i] or home[j]) and np.bitwise_count(codes[i] ^ codes[j]) <= 1}
+    assert want <= got and all(far[i, j] <= 4 for i, j in got)
 
 
 def test_tree_search_is_exact():
     codes = R.integers(0, 1 << 16, 600, dtype=np.uint64)
-    tree = simhash.Tree(codes, 5)
-    home = np.empty(600, int)
-    row, leaf = tree.search(codes, 0)
-    assert sorted(row.tolist()) == list(range(600))
-    home[row] = leaf
-    reached = set(zip(*(x.tolist() for x in tree.search(codes, 1)), strict=True))
-    for i, j in zip(*np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 1), strict=True):
-        assert (int(i), int(home[j])) in reached
+    for radius in (1, 2):
+        tree = simhash.Tree(codes, 20, radius)
+        row, leaf, home = tree.search(codes)
+        assert sorted(row[home].tolist()) == list(range(600))
+        lives = np.empty(600, int)
+        lives[row[home]] = leaf[home]
+        reached = set(zip(row.tolist(), leaf.tolist(), strict=True))
+        for i, j in zip(*np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= radius), strict=True):
+            assert (int(i), int(lives[j])) in reached or (int(j), int(lives[i])) in reached
 
 
 def test_near_duplicate_groups(docs, none):
