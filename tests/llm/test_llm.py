@@ -55,7 +55,9 @@ TEXTS = [
     "# $ % & " * 80,
     "so much of the same " * 40,
     "Éa Ñu ßtraße 日本 naïve\r\nx\ry",
+    *(sentence(6) + "\n" + " ".join(["the", "same", "long"] * 18) + x + sentence(6) for x in ("\n", " \r\n\n")),  # a single long line
 ]
+LONG_LINES = len(TEXTS) - 1
 
 
 def rows_of():
@@ -314,10 +316,15 @@ def slow_lines(rows, run):
     distinct = {(d, t) for d, t in rows}
     for d, t in sorted(distinct, key=lambda r: (*key(r), signed_hash(r[1]))):
         all_lines = (t or "").split("\n")
-        own = [i for i, x in enumerate(all_lines) if x.strip()]
+        plain = [x.strip(" \t\n\v\f\r") for x in all_lines]
+        own = [i for i, x in enumerate(plain) if x]
         drop = set()
+        for i in own:
+            if len(re.findall("[^\x20\x09-\x0d]+", plain[i])) >= lines.LONG:
+                drop |= {i} if ("long", plain[i]) in seen else set()
+                seen["long", plain[i]] = True
         for k in range(len(own) - run + 1):
-            w = tuple(all_lines[own[k + j]].strip() for j in range(run))
+            w = tuple(plain[own[k + j]] for j in range(run))
             if w in seen:
                 drop |= {own[k + j] for j in range(run)}
             seen[w] = True
@@ -336,9 +343,22 @@ def test_repeated_lines(docs, none, run):
     assert got.columns == [*docs.columns, "n_lines", "n_removed"]
     want = slow_lines(pairs(), run)
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((d, want[d, t]) for d, t in pairs())
+    assert want[LONG_LINES, TEXTS[LONG_LINES]] != TEXTS[LONG_LINES]
     assert lines.remove_repeated_lines(none, run).count() == 0
 
 
+def test_selected_lines_are_window_minima():
+    for run in (1, 2, 3, 5):
+        hashes = [bytes(x) for x in R.integers(0, 6, (40, 1), dtype=np.uint8)]
+        want = {}
+        for k in range(len(hashes) - run + 1):
+            some = hashes[k : k + run]
+            want.setdefault(k + some.index(min(some)), []).append((k, run))
+        assert lines.selected(hashes, [], run) == want
+    many = [xxhash.xxh3_128_digest(str(i).encode()) for i in range(3000)]
+    assert len(lines.selected(many, [], 2)) < 0.7 * len(many)
+
+
 def test_gear_hash_and_chunks():
     data = np.frombuffer("".join(TEXTS[:3]).encode(), np.uint8)
     h = chunks.gear_hashes(data)
