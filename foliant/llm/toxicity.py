@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are at most SAMPLE labelled rows in expectation, half of them toxic where there are so many, drawn by a hash of doc_id. A vector holds all lower-cased words of a text, by (1 + ln tf) * ln(N / df), at length one; document frequencies come from all documents. Telling terms weigh TELLING times as much: words, and beginnings of longer words, which are terms of their own, whose presence in the examples goes with a label (chi-squared at least CHI2 and LIFT times as frequent with one label as with the other), at most TERMS. Words that no example has count for a text's length only; their document frequencies are counted in OTHERS slots by hash, and words that share a slot count as one.
+Examples are at most SAMPLE labelled rows in expectation, half of them toxic where there are so many, drawn by a hash of doc_id. A vector holds all lower-cased words of a text, by (1 + ln tf) * ln(N / df) * (1 + z), at length one. Document frequencies come from all documents. z is how far a word goes with toxic examples, by standard deviations: the signed root of chi-squared of the word's presence and the label over the examples, 0 where it is negative. No word is left out: words that no example has count for a text's length; their document frequencies are counted in OTHERS slots by hash, and words that share a slot count as one.
 
 The index holds, for each term, postings by blocks of BLOCK examples, and each block's largest weight. A query bounds a block's scores by its terms' largest weights, visits blocks from the highest bound down, some at a time, and stops where the bound falls below its k-th best score: the K nearest are exact, ties going to the smaller doc_id. Votes are weighted by 1 / (FAR + 1 - cosine). Votes that each example gets from the others, weighted by its label's share of all labelled rows, are made into calibrated scores by isotonic regression. A text that shares no word with any example gets the share of toxic rows among such examples, or among all where there are none.
 """
@@ -12,31 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Vocabulary, documents, id_type, lowered_words, small_batches, span_hashes
+from foliant.llm.common import documents, id_type, lowered_words, small, small_batches, span_hashes, written
 
-SAMPLE, TERMS, CHI2, LIFT, LEAST_DF = 4000, 512, 10.83, 4.0, 5
-#: Beginnings of words must be so many times as frequent with one label: short ones are otherwise too common.
-LIFT_BEGINNING = 40.0
-#: Characters of the beginnings of words that are terms, too: stems are known in forms not seen before.
-BEGINNINGS = (4, 5, 6, 7)
+#: Labelled rows that are examples, in expectation.
+SAMPLE = 4000
 K, FAR, BLOCK = 15, 0.05, 128
-#: Weight of a telling term beside any other word's 1; slots for the words that no example has.
-TELLING, OTHERS = 8.0, 1 << 18
+#: Slots for the words that no example has.
+OTHERS = 1 << 18
 TOXIC = 0.7
 
 
 class Terms:
-    """All words of the examples (hashes, sorted), telling beginnings of longer words (names with a star), then slots for other words."""
+    """All words of the examples (hashes, sorted), then slots for other words."""
 
-    def __init__(self, names: list[str], hashes: np.ndarray):
-        self.hashes = hashes
-        self.beginnings = Vocabulary([x[:-1] for x in names if x.endswith("*")])
-        self.sizes = sorted({len(x) for x in self.beginnings.words})
-        self.known = len(hashes) + len(self.beginnings.words)
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.known = hashes, len(hashes)
         self.total = self.known + OTHERS
-        self.telling = np.zeros(self.total, bool)
-        self.telling[np.flatnonzero(np.isin(hashes, Vocabulary([x for x in names if not x.endswith("*")]).hashes))] = True
-        self.telling[len(hashes) : self.known] = True
 
     def counts(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, term and count of each term in each text."""
@@ -45,75 +36,36 @@ class Terms:
         own = span_hashes(data, begin, end)
         at = np.searchsorted(self.hashes, own)
         found = self.hashes[np.minimum(at, len(self.hashes) - 1)] == own if len(self.hashes) else np.zeros(len(own), bool)
-        rows, terms = [text], [np.where(found, at, self.known + (own % np.uint64(OTHERS)).astype(np.int64))]
-        if self.sizes:
-            first = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
-            char = np.searchsorted(first, begin)
-            first = np.append(first, len(data))
-            for size in self.sizes:
-                stop = first[np.minimum(char + size, len(first) - 1)]
-                longer = np.flatnonzero(stop < end)
-                at = self.beginnings.find(span_hashes(data, begin[longer], stop[longer]))
-                rows.append(text[longer[at >= 0]])
-                terms.append(len(self.hashes) + at[at >= 0].astype(np.int64))
-        pairs, counts = np.unique(np.concatenate(rows) * self.total + np.concatenate(terms), return_counts=True)
+        pairs, counts = np.unique(text * self.total + np.where(found, at, self.known + (own % np.uint64(OTHERS)).astype(np.int64)), return_counts=True)
         return pairs // self.total, pairs % self.total, counts
 
 
-def word_hashes(texts: list[str]) -> np.ndarray:
-    """The hashes of all words in texts, sorted."""
-    found = np.zeros(0, np.uint64)
-    for at in range(0, len(texts), 500):
-        data, begin, end, _ = lowered_words(pa.array(texts[at : at + 500], pa.string()))
-        found = np.union1d(found, span_hashes(data, begin, end))
-    return found
+def example_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """doc_id, label, and the distinct words' hashes and counts of each row (doc_id, text, toxic): tasks count the words, so whole texts don't come to the driver."""
 
-
-_BEGUN = np.uint64(0xA5A5A5A55A5A5A5A)
-
-
-def _features(texts: list[str]):
-    """For each text's words and beginnings of words: text, hash, and where the feature stands in data."""
-    for at in range(0, len(texts), 200):
-        data, begin, end, before = lowered_words(pa.array(texts[at : at + 200], pa.string()))
-        first = np.flatnonzero((data & 0xC0) != 0x80)
-        char, first = np.searchsorted(first, begin), np.append(first, len(data))
-        text = at + np.searchsorted(before, np.arange(len(begin)), "right") - 1
-        for size in (0, *BEGINNINGS):
-            stop = first[np.minimum(char + size, len(first) - 1)] if size else end
-            on = np.flatnonzero(stop < end) if size else np.arange(len(begin))
-            yield text[on], span_hashes(data, begin[on], stop[on]) ^ (_BEGUN if size else np.uint64(0)), data, begin[on], stop[on], "*" if size else ""
-
-
-def choose_terms(texts: list[str], toxic: np.ndarray, most: int = TERMS) -> list[str]:
-    """The words and beginnings of words whose presence goes with a label, the most telling first. Features are counted by hash; only the chosen ones are spelt out."""
+    def run(batches):
+        for batch in small_batches(batches):
+            data, begin, end, before = lowered_words(batch.column(1))
+            own = span_hashes(data, begin, end)
+            each = [np.unique(own[a:b], return_counts=True) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([h.view(np.int64) for h, _ in each], pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in each], pa.list_(pa.int32()))], names=["doc_id", "toxic", "h", "n"])
+
+    found = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, h array<long>, n array<int>").toArrow()
+    hashes = [np.array(x.values.to_numpy()).view(np.uint64) for x in found["h"]]
+    counts = [x.values.to_numpy().astype(np.int64) for x in found["n"]]
+    ids, toxic = found["doc_id"].to_numpy(), found["toxic"].to_numpy()
+    order = sorted(range(found.num_rows), key=lambda i: (int(ids[i]), hashes[i].tobytes(), counts[i].tobytes()))
+    order = np.array(order, np.int64)
+    return ids[order], toxic[order], [hashes[i] for i in order], [counts[i] for i in order]
+
+
+def leaning(text: np.ndarray, term: np.ndarray, toxic: np.ndarray, total: int) -> np.ndarray:
+    """How many standard deviations each term goes with toxic texts, at least 0. text and term: which term each text has, each pair once."""
     n1, n0 = float(toxic.sum()), float(len(toxic) - toxic.sum())
-    if not n1 or not n0:
-        return []
-    seen, labels = [], []
-    for text, hashes, *_ in _features(texts):
-        order = np.lexsort((hashes, text))
-        text, hashes = text[order], hashes[order]
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
-        seen.append(hashes[new])
-        labels.append(toxic[text[new]] == 1)
-    names, place = np.unique(np.concatenate(seen), return_inverse=True)
-    del seen
-    a = np.bincount(place[np.concatenate(labels)], minlength=len(names)).astype(float)
-    c = np.bincount(place, minlength=len(names)) - a
-    del place, labels
-    p1, p0 = (a + 0.5) / (n1 + 1), (c + 0.5) / (n0 + 1)
-    chi = (n1 + n0) * (a * (n0 - c) - c * (n1 - a)) ** 2 / np.maximum(1e-9, n1 * n0 * (a + c) * (n1 + n0 - a - c))
-    lift = np.maximum(p1 / p0, p0 / p1)
-    score = dict(zip(names[wanted].tolist(), np.stack([chi[wanted], lift[wanted]], 1).tolist(), strict=True)) if (wanted := np.flatnonzero((a + c >= LEAST_DF) & (chi >= CHI2) & (lift >= LIFT))).size else {}
-    spelt: dict[int, str] = {}
-    for _, hashes, data, begin, stop, star in _features(texts):
-        for i in np.flatnonzero(np.isin(hashes, names[wanted])).tolist():
-            if (h := int(hashes[i])) not in spelt:
-                spelt[h] = data[begin[i] : stop[i]].tobytes().decode() + star
-    found = [(-score[h][0], word) for h, word in spelt.items() if not word.endswith("*") or score[h][1] >= LIFT_BEGINNING]
-    return [w for _, w in sorted(found)[:most]]
+    a = np.bincount(term[toxic[text] == 1], minlength=total).astype(float)
+    c = np.bincount(term[toxic[text] == 0], minlength=total).astype(float)
+    z = (a * (n0 - c) - c * (n1 - a)) * np.sqrt((n1 + n0) / np.maximum(1e-9, n1 * n0 * (a + c) * (n1 + n0 - a - c)))
+    return np.where((a + c > 0) & (a + c < n1 + n0), np.maximum(0, z), 0)
 
 
 def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -202,7 +154,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     def __init__(self, terms: Terms):
         self.terms = terms
-        self.idf = np.ones(terms.total)  # times the weight of telling terms
+        self.idf = np.ones(terms.total)  # times 1 + leaning
         self.index: Index | None = None
         self.steps, self.values = np.zeros(0), np.zeros(0)
         self.weight = np.ones(2)
@@ -250,32 +202,28 @@ def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model. labels: doc_id and toxic (0 or 1); rows with a remainder of 1 by 3 or without a label are not learnt from."""
+    """The model. labels: doc_id and toxic (0 or 1); rows with a remainder of 1 by 3 or without a label are not learnt from. doc_id is a whole number."""
     usable = labels.where((F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")), F.lit(1_000_000))
     rate = lambda label: F.lit(1e6 * sample / 2 / max(1, sizes.get(label, 0)))
-    drawn = usable.where(draw < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()  # `sample` rows in expectation
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    toxic = np.array([r["toxic"] for r in rows], int)
-    texts = [r["text"] for r in rows]
-    model = Model(Terms(choose_terms(texts, toxic), word_hashes(texts)))
-    if not len(rows):
+    drawn = small(written(usable.where(draw < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0))), "examples"))  # `sample` rows in expectation
+    ids, toxic, hashes, counts = example_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id"))
+    model = Model(Terms(np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)))
+    if not len(ids):
         return model
+    own = [(np.searchsorted(model.terms.hashes, h), n) for h, n in zip(hashes, counts, strict=True)]
     df, total = document_frequencies(docs, model.terms)
-    model.idf = (np.log((1 + total) / (1 + df)) + 1e-6) * np.where(model.terms.telling, TELLING, 1.0)
+    text = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
+    model.idf = (np.log((1 + total) / (1 + df)) + 1e-6) * (1 + leaning(text, np.concatenate([t for t, _ in own]), toxic, model.terms.total))
     share = np.array([sizes.get(i, 0) / max(1, int((toxic == i).sum())) for i in (0, 1)])
     model.weight = share
-    text, term, n = model.terms.counts(pa.array(texts, pa.string()))
-    cut = np.searchsorted(text, np.arange(len(rows) + 1))
-    own = [(term[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     full = [i for i, (t, _) in enumerate(own) if len(t)]
     bare = [i for i, (t, _) in enumerate(own) if not len(t)]
     w = share[toxic]
     model.base = float((w[bare] * toxic[bare]).sum() / w[bare].sum()) if bare else float((w * toxic).sum() / w.sum())
     if full:
-        model.index = Index([model.vector(*own[i]) for i in full], toxic[full], np.array([int(rows[i]["doc_id"]) for i in full]), model.terms.known)
+        model.index = Index([model.vector(*own[i]) for i in full], toxic[full], ids[full], model.terms.known)
         votes, truth = [], []
         for place, j in enumerate(model.index.order):
             v = model.raw(*own[full[j]], without=place)[0]

@@ -464,7 +464,7 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
-def test_toxicity_compares_texts_without_telling_terms(spark):
+def test_toxicity_compares_texts_without_leaning_words(spark):
     rows = [(i, prose(2), int(i % 40 == 0)) for i in range(200)]
     rows += [(500 + i, prose(2) + " crudwort", 1) for i in range(40)]
     labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
@@ -476,6 +476,47 @@ def test_toxicity_compares_texts_without_telling_terms(spark):
     assert got[2000].evidence[0] == used[0][0] and 0.5 < got[2000].cosines[0] < 0.999  # words that no example has count for the length
 
 
+def test_toxicity_against_brute_force(spark):
+    """Scores by all cosines of a dense matrix."""
+    some = [word() for _ in range(120)]
+    texts = [" ".join(some[i] for i in R.integers(0, 120, R.integers(2, 40))) + (" crudwort" if i % 5 == 0 else "") for i in range(240)] + ["", None, "nothing known herein", "crudwort"]
+    labels = {i: int(i % 5 == 0) for i in range(200)}
+    used = [i for i in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    names = sorted({w for i in used for w in texts[i].split()})
+    counts = [Counter(re.findall("[a-z]+", (t or "").lower())) for t in texts]
+    y = np.array([labels[i] for i in used])
+    has = np.array([[w in counts[i] for w in names] for i in used])
+    a, c, n1, n0 = has[y == 1].sum(0), has[y == 0].sum(0), y.sum(), (1 - y).sum()
+    chi = (a * n0 - c * n1) ** 2 * (n1 + n0) / np.maximum(1e-9, n1 * n0 * (a + c) * (n1 + n0 - a - c))
+    lean = {w: np.sqrt(chi[k]) if a[k] * n0 > c[k] * n1 and a[k] + c[k] < n1 + n0 else 0.0 for k, w in enumerate(names)}
+    every = sorted({w for x in counts for w in x})
+    df = {w: sum(w in x for x in counts) for w in every}
+
+    def vector(x):
+        v = np.array([(1 + np.log(x[w])) * (np.log((1 + len(texts)) / (1 + df[w])) + 1e-6) * (1 + lean.get(w, 0)) if w in x else 0.0 for w in every])
+        return v / max(1e-12, np.linalg.norm(v))
+
+    own = np.array([vector(counts[i]) for i in used])
+    share = np.ones(2)  # every labelled row is an example
+
+    def raw(v, without=None):
+        cosine = own @ v
+        if without is not None:
+            cosine[without] = 0
+        best = [k for k in np.lexsort((used, -np.round(cosine, 12)))[: toxicity.K] if cosine[k] > 1e-12]
+        return (toxicity.vote(cosine[best], y[best], share[y[best]]) if best else None), [used[k] for k in best]
+
+    votes = [raw(own[k], k)[0] for k in range(len(used))]
+    kept = [k for k, v in enumerate(votes) if v is not None]
+    steps, values = toxicity.isotonic(np.array([votes[k] for k in kept]), y[kept].astype(float), np.ones(len(kept)))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), sample=1_000_000).collect()}
+    for i, x in enumerate(counts):
+        v, evidence = raw(vector(x))
+        want = y.mean() if v is None else values[max(0, np.searchsorted(steps, v + 1e-9, "right") - 1)]
+        assert abs(got[i].score - want) < 1e-6 and got[i].evidence == evidence, i
+    assert got[240].evidence == got[242].evidence == [] and got[243].evidence
+
+
 def slow_counts(text):
     words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
