@@ -138,17 +138,18 @@ def vote(cosines: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rising step function nearest to y at x by weighted squares: begins of the steps and their values."""
+    """The rising step function nearest to y at x by weighted squares: both ends of each step, and its value there. Scores between steps lie on straight lines."""
     at, place = np.unique(x, return_inverse=True)
     total, weight = np.bincount(place, w * y), np.bincount(place, w)
     blocks: list[list[float]] = []
-    for one in zip(at.tolist(), total.tolist(), weight.tolist(), strict=True):
+    for one in zip(at.tolist(), at.tolist(), total.tolist(), weight.tolist(), strict=True):
         blocks.append(list(one))
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
+        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]:
             last = blocks.pop()
-            blocks[-1][1] += last[1]
+            blocks[-1][1] = last[1]
             blocks[-1][2] += last[2]
-    return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
+            blocks[-1][3] += last[3]
+    return np.array([b[i] for b in blocks for i in ((0, 1) if b[1] > b[0] else (0,))]), np.array([b[2] / b[3] for b in blocks for _ in range(1 + (b[1] > b[0]))])
 
 
 class Model:
@@ -178,7 +179,7 @@ class Model:
         v, places, cosines = self.raw(terms, counts)
         if v is None or not len(self.steps):
             return self.base, [], []
-        value = float(self.values[max(0, int(np.searchsorted(self.steps, v, "right")) - 1)])
+        value = float(np.interp(v, self.steps, self.values))
         return min(1.0, max(0.0, value)), self.index.ids[places].tolist(), cosines.tolist()
 
 
