@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval, longest common subsequences and answer checks.
 
-Words are lower-cased runs of letters and digits. The benchmark is taken in blocks of at most ITEMS items in expectation (each block's words, vectors and projections have that bound and are broadcast); for each block:
-1. All texts are read for the frequency of the block's words, by stretches of STRIDE words. Words in more than COMMON of them are common; each item keeps its others as terms, at least its LEAST_TERMS rarest words.
-2. All texts are read again for passages: windows of two stretches that hold OVERLAP different terms of one item (all of them where it has fewer). Their words, with as many to either side as the longest item has, and their TF-IDF vectors over the terms make up a narrow table.
-3. A randomised SVD of these vectors and the items' own: with a random matrix W, the columns of A'(A W) span the range; Q is their orthonormal form, and the eigenvectors of (A Q)'(A Q) give the latent axes. Both products are sums over passages that tasks make and that are added up by slices of terms. The rank is the block's items and EXTRA, so every item has room for an axis of its own.
-4. Passages and items meet by cosine in the latent space; pairs at NEAR or more are checked by the longest common subsequence of words. A pair is a leak where that has VERBATIM of the item's words, or PARAPHRASE of them and ANSWER of the words of the item's answer, in order (its last sentence, unless the benchmark has an `answer`).
+Words are lower-cased runs of letters and digits; a text is cut into stretches of STRIDE words. The benchmark is taken in blocks of at most ITEMS items in expectation, and GROUP blocks share one reading of the texts:
+1. All texts are read once into a compact table: which words of the group's items they have, and where. Stretch frequencies of all these words come from it; no word is left out, common ones weigh little.
+2. For each block a randomised SVD of all stretches' TF-IDF vectors (each at length one) and the items' own, which together count as much as all stretches: with a random matrix W, the columns of A'(A W) span the range; Q is their orthonormal form, and the eigenvectors of (A Q)'(A Q) give the latent axes. Both products are sums over stretches that tasks make and that are added up in a tree, by slices of terms. The rank is the block's items and EXTRA, so every item has room for an axis of its own.
+3. Passages are windows of 2, 3, 5, 9, ... stretches, one from every stretch on: an item is looked for in the least windows that hold any passage of its length. Every passage is folded into the latent space and compared with every item by cosine. An item's threshold is NEAR of the cosine that it would have with a window that holds it beside words of the usual frequencies.
+4. Pairs that are near enough are checked by the longest common subsequence of the item's words with those of the window and as many to either side as the item has. A pair is a leak where that has VERBATIM of the item's words, or PARAPHRASE of them and ANSWER of the words of the item's answer, in order (its last sentence, unless the benchmark has an `answer`).
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Vocabulary, documents, id_type, lowered_words, small_batches, span_hashes, written
+from foliant.llm.common import Vocabulary, documents, forget, id_type, lowered_words, small_batches, span_hashes, unused, written
 
-ITEMS, EXTRA, STRIDE = 256, 64, 32
-COMMON, LEAST_TERMS, OVERLAP = 0.002, 6, 3
-NEAR, VERBATIM, PARAPHRASE, ANSWER = 0.35, 0.8, 0.6, 0.8
-_SLICE = 256
+ITEMS, GROUP, EXTRA, STRIDE = 256, 16, 64, 32
+NEAR, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.8
+#: Rows of a matrix that are added up together, and how many tasks' sums one task adds.
+_SLICE, _FAN = 256, 32
+#: Words that a task looks at at a time.
+_MOST = 1 << 15
+#: Stretches whose vectors are in memory at a time.
+_STRETCHES = 2048
 
 
 def words_of(text: str | None) -> list[str]:
@@ -31,7 +35,7 @@ def words_of(text: str | None) -> list[str]:
     return [whole[a:b].decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
-def common_words(item: dict[str, int], size: int, words: list[str]) -> int:
+def common_words(item: dict, size: int, words: list) -> int:
     """Length of the longest common subsequence, by Hyyrö's bit-parallel rule. item: for each word, the places it has, as bits."""
     full = (1 << size) - 1
     v = full
@@ -43,8 +47,8 @@ def common_words(item: dict[str, int], size: int, words: list[str]) -> int:
     return size - v.bit_count()
 
 
-def place_bits(words: list[str]) -> dict[str, int]:
-    found: dict[str, int] = {}
+def place_bits(words: list) -> dict:
+    found: dict = {}
     for i, w in enumerate(words):
         found[w] = found.get(w, 0) | 1 << i
     return found
@@ -62,213 +66,283 @@ class Block:
         rows = [(r["item_id"], words_of(r["text"]), words_of(r["answer"]) or words_of(last_sentence(r["text"] or ""))) for r in rows]
         rows = [r for r in rows if r[1]]
         self.ids, self.words, self.answers = ([r[i] for r in rows] for i in range(3))
-        self.longest = max(map(len, self.words), default=0)
-        self.vocabulary = sorted({w for x in self.words for w in x})
-
-    def keep(self, frequency: np.ndarray, total: int) -> None:
-        """Chooses the terms. frequency: of each word of the vocabulary; total: of stretches."""
-        df = dict(zip(self.vocabulary, frequency.tolist(), strict=True))
-        chosen: set[str] = set()
-        for own in self.words:
-            rare = sorted(set(own), key=lambda w: (df[w], w))
-            chosen |= set(rare[:LEAST_TERMS]) | {w for w in rare if df[w] <= COMMON * total}
-        self.terms = sorted(chosen)
+        self.terms = sorted({w for x in self.words for w in x} | {w for x in self.answers for w in x})
+
+    def weigh(self, frequency: dict[str, int], total: int) -> None:
+        """frequency: in how many of `total` stretches each term occurs."""
         at = {w: i for i, w in enumerate(self.terms)}
-        self.idf = np.log((1 + total) / (1 + np.array([df[w] for w in self.terms], float))) + 1
-        self.own = [np.array(sorted({at[w] for w in own if w in at}), np.int64) for own in self.words]
-        self.items_of: list[list[int]] = [[] for _ in self.terms]
-        for i, own in enumerate(self.own):
-            for t in own.tolist():
-                self.items_of[t].append(i)
-        self.needed = [min(OVERLAP, len(x)) for x in self.own]
-        self.vectors = np.zeros((len(self.ids), len(self.terms)))
-        for i, own in enumerate(self.words):
-            for w in own:
-                if w in at:
-                    self.vectors[i, at[w]] += self.idf[at[w]]
-        self.vectors /= np.maximum(1e-12, np.linalg.norm(self.vectors, axis=1, keepdims=True))
-
-
-def stretch_frequency(texts: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
-    """In how many stretches of STRIDE words each word occurs, and how many stretches there are."""
+        df = np.array([frequency.get(w, 0) for w in self.terms], float)
+        self.idf = (np.log((1 + total) / (1 + df)) + 1e-6).astype(np.float32)
+        own = np.zeros((len(self.ids), len(self.terms)), np.float32)
+        for i, words in enumerate(self.words):
+            for w in words:
+                own[i, at[w]] += self.idf[at[w]]
+        size = np.linalg.norm(own, axis=1)
+        self.vectors = own / size[:, None]
+        self.window = np.array([1 + (1 << max(0, int(np.ceil(np.log2(len(x) / STRIDE))))) for x in self.words])
+        usual = self.window * float((df / max(1, total) * self.idf**2).sum())
+        self.near = NEAR * size / np.sqrt(size**2 + usual)
+        self.places = [place_bits([at[w] for w in x]) for x in self.words]
+        self.answer_places = [place_bits([at[w] for w in x]) for x in self.answers]
+
+
+def term_table(docs: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, t (hash of the text), n_words, terms (places in `words`) and gaps (words from one term to the next) of each text with a word."""
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(words))  # words of GROUP * ITEMS items
+
+    def find(batches):
+        for batch in small_batches(batches):
+            data, begin, end, before = lowered_words(batch.column(1))
+            term = sent.value.find(span_hashes(data, begin, end))
+            hit = np.flatnonzero(term >= 0)
+            upto = np.searchsorted(hit, before)
+            gaps = np.diff(hit, prepend=0)
+            first = upto[:-1][np.diff(upto) > 0]
+            gaps[first] = hit[first] - before[:-1][np.diff(upto) > 0]
+            full = pa.array(np.flatnonzero(np.diff(before)))
+            lists = [pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(x.astype(np.int32))).take(full) for x in (term[hit], gaps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(full), batch.column(2).take(full), pa.array(np.diff(before).astype(np.int32)).take(full), *lists], names=["doc_id", "t", "n_words", "terms", "gaps"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(find, f"doc_id {id_type(docs)}, t long, n_words int, terms array<int>, gaps array<int>")
+
+
+class Part:
+    """Some rows of term_table(), with the block's own numbers of terms: row, place and term of each word, the rows' first stretches, and each stretch's counts (cell: stretch and term)."""
+
+    def __init__(self, batch: pa.RecordBatch, local: np.ndarray):
+        lists = [batch.column(batch.schema.get_field_index(x)) for x in ("terms", "gaps")]
+        n = np.diff(lists[0].offsets.to_numpy())
+        term, gap = (x.flatten().to_numpy().astype(np.int64) for x in lists)
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.cumsum(gap)
+        start = np.cumsum(n) - n
+        place -= np.repeat(np.where(n > 0, np.append(place, 0)[start] - np.append(gap, 0)[start], 0), n)
+        own = local[term]
+        keep = own >= 0
+        self.batch, self.row, self.place, self.term = batch, row[keep], place[keep], own[keep]
+        self.first = np.concatenate([[0], np.cumsum(-(-batch.column(batch.schema.get_field_index("n_words")).to_numpy().astype(np.int64) // STRIDE))])
+        self.stretches = int(self.first[-1])
+        self.stretch = self.first[self.row] + self.place // STRIDE
+
+    def counts(self, at: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cell, n = np.unique(at * terms + term, return_counts=True)
+        return cell // terms, cell % terms, n
+
+
+def parts(batches, local: np.ndarray):
+    """The rows by parts of at most _MOST terms (or one row)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.cumsum(np.diff(batch.column(batch.schema.get_field_index("terms")).offsets.to_numpy()))
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(sizes, (int(sizes[at - 1]) if at else 0) + _MOST, "right")))
+            yield Part(batch.slice(at, upto - at), local)
+            at = upto
+
+
+def stretch_frequency(table: DataFrame, words: list[str]) -> tuple[dict[str, int], int]:
+    """In how many stretches each word occurs, and how many stretches there are."""
+    size = max(1, len(words))
 
     def count(batches):
-        vocabulary = Vocabulary(words)
-        total, stretches = np.zeros(len(words), np.int64), 0
-        for batch in small_batches(batches, 0):
-            data, begin, end, before = lowered_words(batch.column(0))
-            at = vocabulary.find(span_hashes(data, begin, end))
-            hit = np.flatnonzero(at >= 0)
-            text = np.searchsorted(before, hit, "right") - 1
-            each = -(-np.diff(before) // STRIDE)
-            first = np.cumsum(each) - each
-            stretch = first[text] + (hit - before[:-1][text]) // STRIDE
-            pairs = np.unique(stretch * max(1, len(words)) + at[hit])
-            total += np.bincount(pairs % max(1, len(words)), minlength=len(words))[: len(words)]
-            stretches += int(each.sum())
+        total, stretches = np.zeros(size, np.int64), 0
+        for part in parts(batches, np.arange(size)):
+            total += np.bincount(part.counts(part.stretch, part.term, size)[1], minlength=size)
+            stretches += part.stretches
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"w": pa.array(np.append(at, -1), pa.int64()), "n": pa.array(np.append(total[at], stretches), pa.int64())})
 
-    rows = texts.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()  # a row for each of the block's words
-    found = np.zeros(len(words), np.int64)
-    for r in rows:
-        if r["w"] >= 0:
-            found[r["w"]] = r["n"]
-    return found, next((r["n"] for r in rows if r["w"] == -1), 0)
+    rows = table.select("n_words", "terms", "gaps").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()  # a row for each of the group's words
+    found = dict(zip(rows["w"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    total = found.pop(-1, 0)
+    return {words[i]: n for i, n in found.items()}, total
 
 
-def passages(docs: DataFrame, block: Block) -> DataFrame:
-    """Windows with enough terms of an item: doc_id, t, at (the first stretch), terms and counts, words."""
-    vocabulary = Vocabulary(block.terms)
+def _products(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
+    """The sparse matrix (row, term, weight; rows in order) times matrix."""
+    out = np.zeros((n, matrix.shape[1]), np.float32)
+    if len(row):
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        out[row[first]] = np.add.reduceat(matrix[term] * weight[:, None], first, axis=0)
+    return out
 
-    def find(batches):
-        for batch in small_batches(batches):
-            data, begin, end, before = lowered_words(batch.column(1))
-            term = vocabulary.find(span_hashes(data, begin, end))
-            hit = np.flatnonzero(term >= 0)
-            cuts = np.searchsorted(hit, before).tolist()
-            rows: dict[str, list] = {k: [] for k in ("row", "at", "terms", "counts", "words")}
-            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a == b:
-                    continue
-                first, last = int(before[i]), int(before[i + 1])
-                by_stretch: dict[int, list[int]] = {}
-                for h, t in zip(hit[a:b].tolist(), term[hit[a:b]].tolist(), strict=True):
-                    by_stretch.setdefault((h - first) // STRIDE, []).append(t)
-                for s in sorted({s - j for s in by_stretch for j in (0, 1) if s - j >= 0}):
-                    found = by_stretch.get(s, []) + by_stretch.get(s + 1, [])
-                    seen: dict[int, int] = {}
-                    for t in set(found):
-                        for item in block.items_of[t]:
-                            seen[item] = seen.get(item, 0) + 1
-                    if any(n >= block.needed[item] for item, n in seen.items()):
-                        terms, counts = np.unique(found, return_counts=True)
-                        x, y = max(first, first + s * STRIDE - block.longest), min(last, first + (s + 2) * STRIDE + block.longest)
-                        own = [data[p:q].tobytes().decode() for p, q in zip(begin[x:y].tolist(), end[x:y].tolist(), strict=True)]
-                        for k, v in zip(rows, (i, s, terms.tolist(), counts.tolist(), own), strict=True):
-                            rows[k].append(v)
-            at = pa.array(rows["row"], pa.int64())
-            lists = [pa.array(rows[k], pa.list_(pa.int32())) for k in ("terms", "counts")]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(rows["at"], pa.int32()), *lists, pa.array(rows["words"], pa.list_(pa.string()))], names=["doc_id", "t", "at", "terms", "counts", "words"])
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(find, f"doc_id {id_type(docs)}, t long, at int, terms array<int>, counts array<int>, words array<string>")
-
-
-def _rows_by(batch: pa.RecordBatch, idf: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each passage's vector (row, term, weight) and its product with matrix."""
-    terms, counts = batch.column(batch.schema.get_field_index("terms")), batch.column(batch.schema.get_field_index("counts"))
-    n = np.diff(terms.offsets.to_numpy())
-    term, weight = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts.flatten().to_numpy(zero_copy_only=False).astype(float)
-    row = np.repeat(np.arange(len(n)), n)
-    weight = weight * idf[term]
-    weight /= np.sqrt(np.bincount(row, weight * weight, minlength=len(n)))[row]
-    out = np.zeros((len(n), matrix.shape[1]))
-    full = np.flatnonzero(n)
-    if len(full):
-        out[full] = np.add.reduceat(matrix[term] * weight[:, None], (np.cumsum(n) - n)[full], axis=0)
-    return row, term, weight, out
-
-
-def latent_axes(found: DataFrame, block: Block, seed: int = 17) -> np.ndarray:
-    """The latent axes (terms by rank) of the passages' and items' vectors, by a randomised SVD."""
-    size = len(block.terms)
-    rank = min(size, len(block.ids) + EXTRA)
-    idf = block.idf
 
-    def add_up(partial, rows: int, columns: int) -> np.ndarray:
-        def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"part": pdf["part"].iloc[:1], "sum": [np.sum([np.frombuffer(x) for x in pdf["sum"]], axis=0).tobytes()]})
+def _units(part: Part, idf: np.ndarray):
+    """The part's stretches at length one, some at a time: row, term, weight and number of rows."""
+    at, term, n = part.counts(part.stretch, part.term, len(idf))
+    weight = n * idf[term]
+    size = np.sqrt(np.bincount(at, weight * weight, minlength=part.stretches))
+    weight = (weight / size[at]).astype(np.float32)
+    for low in range(0, part.stretches, _STRETCHES):
+        a, b = np.searchsorted(at, [low, low + _STRETCHES]).tolist()
+        if b > a:
+            yield at[a:b] - low, term[a:b], weight[a:b], min(_STRETCHES, part.stretches - low)
 
-        def emit(batches):
-            total = np.zeros((rows, columns))
-            for batch in batches:
-                if batch.num_rows:
-                    partial(batch, total)
-            parts = [(i, total[a : a + _SLICE]) for i, a in enumerate(range(0, rows, _SLICE))]
-            parts = [(i, x) for i, x in parts if x.any()]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([i for i, _ in parts], pa.int32()), "sum": pa.array([np.ascontiguousarray(x).tobytes() for _, x in parts], pa.binary())})
 
-        total = np.zeros((rows, columns))
-        for r in found.select("terms", "counts").mapInArrow(emit, "part int, sum binary").groupBy("part").applyInPandas(sums, "part int, sum binary").collect():  # terms by rank numbers
-            x = np.frombuffer(r["sum"]).reshape(-1, columns)
-            total[r["part"] * _SLICE : r["part"] * _SLICE + len(x)] = x
-        return total
+def add_up(table: DataFrame, partial, local: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """The sum of partial(part, total) over all parts: tasks' sums meet _FAN at a time."""
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(pdf["sum"].iloc[0]).copy()
+        for x in pdf["sum"].iloc[1:]:
+            total += np.frombuffer(x)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "task": pdf["task"].iloc[:1], "sum": [total.tobytes()]})
+
+    def emit(batches):
+        from pyspark import TaskContext
 
-    start = np.random.default_rng(seed).standard_normal((size, rank))
+        total = np.zeros((rows, columns))
+        for part in parts(batches, local):
+            partial(part, total)
+        slices = [(i, total[a : a + _SLICE]) for i, a in enumerate(range(0, rows, _SLICE))]
+        slices = [(i, x) for i, x in slices if x.any()]
+        yield pa.RecordBatch.from_pydict({"part": pa.array([i for i, _ in slices], pa.int32()), "task": pa.array([TaskContext.get().partitionId()] * len(slices), pa.int32()), "sum": pa.array([np.ascontiguousarray(x).tobytes() for _, x in slices], pa.binary())})
+
+    schema = "part int, task int, sum binary"
+    source = table.select("n_words", "terms", "gaps")
+    found, tasks = source.mapInArrow(emit, schema), source.rdd.getNumPartitions()
+    while tasks > 1:
+        found = found.withColumn("task", (F.col("task") / _FAN).cast("int")).groupBy("part", "task").applyInPandas(sums, schema)
+        tasks = -(-tasks // _FAN)
+    total = np.zeros((rows, columns))
+    for r in found.collect():  # rows by columns numbers
+        x = np.frombuffer(r["sum"]).reshape(-1, columns)
+        total[r["part"] * _SLICE : r["part"] * _SLICE + len(x)] = x
+    return total
+
+
+def latent_axes(table: DataFrame, block: Block, local: np.ndarray, total: int, seed: int = 17) -> np.ndarray:
+    """The latent axes (terms by rank) of the stretches' and items' vectors, by a randomised SVD. local: the block's number of each of the table's terms, or -1; total: of stretches."""
+    size, idf = len(block.terms), block.idf
+    rank = min(size, len(block.ids) + EXTRA)
+    start = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
+    share = max(1, total) / len(block.ids)  # the items count as much as all stretches
 
-    def power(batch, total):
-        row, term, weight, y = _rows_by(batch, idf, start)
-        order = np.argsort(term, kind="stable")
-        terms, first = np.unique(term[order], return_index=True)
-        total[terms] += np.add.reduceat(y[row[order]] * weight[order][:, None], first, axis=0)
+    def power(part, sums):
+        for row, term, weight, n in _units(part, idf):
+            y = _products(row, term, weight, n, start)
+            order = np.argsort(term, kind="stable")
+            row, term, weight = row[order], term[order], weight[order]
+            first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+            sums[term[first]] += np.add.reduceat(y[row] * weight[:, None], first, axis=0)
 
-    q, _ = np.linalg.qr(add_up(power, size, rank) + block.vectors.T @ (block.vectors @ start))
+    q, _ = np.linalg.qr(add_up(table, power, local, size, rank) + share * (block.vectors.T @ (block.vectors @ start)))
+    q = q.astype(np.float32)
 
-    def gram(batch, total):
-        y = _rows_by(batch, idf, q)[3]
-        total += y.T @ y
+    def gram(part, sums):
+        for row, term, weight, n in _units(part, idf):
+            y = _products(row, term, weight, n, q)
+            sums += y.T @ y
 
     own = block.vectors @ q
-    values, axes = np.linalg.eigh(add_up(gram, rank, rank) + own.T @ own)
+    values, axes = np.linalg.eigh(add_up(table, gram, local, rank, rank) + share * (own.T @ own).astype(float))
     kept = values > values.max() * 1e-9
-    return q @ axes[:, kept]
-
-
-def _check(found: DataFrame, block: Block, axes: np.ndarray) -> DataFrame:
-    idf = block.idf
+    return (q @ axes[:, kept]).astype(np.float32)
+
+
+def near_passages(part: Part, block: Block, axes: np.ndarray, items: np.ndarray):
+    """(row, first stretch in the row, item, cosine) of the part's passages that are near an item."""
+    size = len(block.idf)
+    all_at, all_term, all_n = part.counts(part.stretch, part.term, size)
+    row_of = np.repeat(np.arange(len(part.first) - 1), np.diff(part.first))
+    widths = np.unique(block.window).tolist()
+    for low in range(0, part.stretches, _STRETCHES):
+        high = min(part.stretches, low + _STRETCHES + widths[-1])
+        a, b = np.searchsorted(all_at, [low, high]).tolist()
+        at, term, n = all_at[a:b] - low, all_term[a:b], all_n[a:b]
+        folded = np.zeros((high - low + 1, axes.shape[1]))
+        np.cumsum(_products(at, term, (n * block.idf[term]).astype(np.float32), high - low, axes), axis=0, dtype=float, out=folded[1:])
+        for width in widths:
+            own = np.flatnonzero(block.window == width)
+            begin = np.arange(low, min(part.stretches, low + _STRETCHES))
+            first, last = part.first[:-1][row_of[begin]], part.first[1:][row_of[begin]]
+            kept = (begin + width <= last) | (begin == first)
+            begin, stop = begin[kept] - low, np.minimum(begin + width, last)[kept] - low
+            # the passages' lengths, from their counts: each stretch's cells go to the passages that hold it
+            number = np.full(high - low, -1)
+            number[begin] = np.arange(len(begin))
+            from_ = np.concatenate([at - k for k in range(width)])
+            passage = np.where(from_ >= 0, number[np.maximum(from_, 0)], -1)
+            held = (passage >= 0) & (np.tile(at, width) < stop[passage]) if len(stop) else np.zeros(len(passage), bool)
+            if not held.any():
+                continue
+            cell, place = np.unique(passage[held] * size + np.tile(term, width)[held], return_inverse=True)
+            weight = np.bincount(place, np.tile(n, width)[held]) * block.idf[cell % size]
+            length = np.sqrt(np.bincount(cell // size, weight * weight, minlength=len(begin)))
+            y = (folded[stop] - folded[begin]).astype(np.float32)
+            cosine = y @ items[own].T / np.maximum(1e-9, length)[:, None].astype(np.float32)
+            i, j = np.nonzero((cosine >= block.near[own][None, :].astype(np.float32)) & (length > 0)[:, None])
+            row = row_of[begin[i] + low]
+            yield from zip(row.tolist(), (begin[i] + low - part.first[row]).tolist(), own[j].tolist(), cosine[i, j].tolist(), strict=True)
+
+
+def search(table: DataFrame, block: Block, axes: np.ndarray, local: np.ndarray) -> DataFrame:
+    """doc_id, t, item (its number in the block), cosine, common and answer of each passage that leaks."""
     items = block.vectors @ axes
-    items /= np.maximum(1e-12, np.linalg.norm(items, axis=1, keepdims=True))
-    bits, answer_bits = [place_bits(w) for w in block.words], [place_bits(w) for w in block.answers]
+    sent = table.sparkSession.sparkContext.broadcast((block, axes, items, local))  # bounded by the block's items
 
     def check(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            y = _rows_by(batch, idf, axes)[3]
-            cosine = y @ items.T / np.maximum(1e-12, np.linalg.norm(y, axis=1, keepdims=True))
+        block, axes, items, local = sent.value
+        for part in parts(batches, local):
             rows: dict[str, list] = {k: [] for k in ("row", "item", "cosine", "common", "answer")}
-            words = batch.column(batch.schema.get_field_index("words"))
-            for r, item in zip(*(x.tolist() for x in np.nonzero(cosine >= NEAR)), strict=True):
-                own = words[r].as_py()
-                common = common_words(bits[item], len(block.words[item]), own) / len(block.words[item])
+            bounds = np.searchsorted(part.row, np.arange(part.batch.num_rows + 1))
+            for row, stretch, item, cosine in near_passages(part, block, axes, items):
+                size = len(block.words[item])
+                place = part.place[bounds[row] : bounds[row + 1]]
+                a, b = np.searchsorted(place, [stretch * STRIDE - size, (stretch + int(block.window[item])) * STRIDE + size]).tolist()
+                own = part.term[bounds[row] + a : bounds[row] + b].tolist()
+                common = common_words(block.places[item], size, own) / size
                 if common >= PARAPHRASE:
-                    answer = common_words(answer_bits[item], len(block.answers[item]), own) / max(1, len(block.answers[item]))
+                    answer = common_words(block.answer_places[item], len(block.answers[item]), own) / max(1, len(block.answers[item]))
                     if common >= VERBATIM or answer >= ANSWER:
-                        for k, v in zip(rows, (r, item, float(cosine[r, item]), common, answer), strict=True):
+                        for k, v in zip(rows, (row, item, float(cosine), common, answer), strict=True):
                             rows[k].append(v)
             at = pa.array(rows["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(rows["item"], pa.int32()), *(pa.array(rows[k], pa.float64()) for k in ("cosine", "common", "answer"))], names=["doc_id", "t", "item", "cosine", "common", "answer"])
+            yield pa.RecordBatch.from_arrays([part.batch.column(0).take(at), part.batch.column(1).take(at), pa.array(rows["item"], pa.int32()), *(pa.array(rows[k], pa.float64()) for k in ("cosine", "common", "answer"))], names=["doc_id", "t", "item", "cosine", "common", "answer"])
 
-    return found.select("doc_id", "t", "terms", "counts", "words").mapInArrow(check, f"doc_id {id_type(found)}, t long, item int, cosine double, common double, answer double")
+    return table.mapInArrow(check, f"doc_id {id_type(table)}, t long, item int, cosine double, common double, answer double")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item that leaks into it: doc_id, t (hash of the text), item_id, cosine, common (share of the item's words in the longest common subsequence), answer (the same for the answer's words).
 
-    Null and empty texts and items without a word have no leaks; rows alike in doc_id and text are one document; rows alike in item_id count as one item by their best leak; an empty table on either side gives no rows. Other columns are ignored but for the benchmark's `answer`."""
+    Null and empty texts and items without a word have no leaks; rows alike in doc_id and text are one document; rows alike in item_id count as one item by their best leak; an empty table on either side gives no rows. Other columns are ignored but for the benchmark's `answer`. Ids may have any type."""
     spark = docs.sparkSession
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     kind = id_type(benchmark, "item_id")
     result = spark.createDataFrame([], f"doc_id {id_type(docs)}, t long, item_id {kind}, cosine double, common double, answer double")
-    items = benchmark.select("item_id", "text", answer.alias("answer"))
+    items = benchmark.select("item_id", "text", answer.alias("answer")).distinct()
     blocks = max(1, -(-items.count() // ITEMS))
-    for b in range(blocks):
-        block = Block(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect())
-        if not block.ids:
+    for g in range(0, blocks, GROUP):
+        number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+        own = range(g, min(g + GROUP, blocks))
+        rows = items.withColumn("b", number).where(F.col("b").between(own[0], own[-1])).orderBy("item_id", "text", "answer").collect()
+        group = [b for b in (Block([r for r in rows if r["b"] == k]) for k in own) if b.ids]
+        if not group:
             continue
-        block.keep(*stretch_frequency(docs.select("text"), block.vocabulary))
-        found = written(passages(docs, block), "passages")
-        hits = _check(found, block, latent_axes(found, block))
-        names = spark.createDataFrame(list(enumerate(block.ids)), f"item int, item_id {kind}")
-        best = hits.join(F.broadcast(names), "item").groupBy("doc_id", "t", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "common", "answer")))
-        result = result.unionByName(written(best, "leaks"))
-    return result
+        words = sorted({w for b in group for w in b.terms})
+        at = {w: i for i, w in enumerate(words)}
+        table = written(term_table(docs, words), "terms")
+        frequency, total = stretch_frequency(table, words)
+        for block in group:
+            block.weigh(frequency, total)
+            local = np.full(len(words), -1, np.int64)
+            local[[at[w] for w in block.terms]] = np.arange(len(block.terms))
+            hits = search(table, block, latent_axes(table, block, local, total), local)
+            names = spark.createDataFrame(list(enumerate(block.ids)), f"item int, item_id {kind}")
+            best = hits.join(F.broadcast(names), "item").groupBy("doc_id", "t", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "common", "answer")))
+            result = result.unionByName(written(best, "leaks"))
+        forget(table)
+    return result.groupBy("doc_id", "t", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "common", "answer"))) if blocks > 1 else result
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that leak."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), "t").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["t"]), "left_anti")
+    own_id, own_key = unused(docs, "own_id", "own_key")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(own_id), F.col("t").alias(own_key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text")) == F.col(own_key)), "left_anti")
 
 
 def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

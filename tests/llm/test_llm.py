@@ -686,19 +686,99 @@ def test_leaks(spark, docs, none, benchmark):
     assert decontaminate.leaks(none, benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def blocks_of(benchmark):
+    return decontaminate.Block(benchmark.select("item_id", "text", F.lit(None).cast("string").alias("answer")).collect())
+
+
 def test_latent_axes_against_a_plain_svd(spark, docs, benchmark):
-    block = decontaminate.Block([r for r in benchmark.select("item_id", "text", F.lit(None).cast("string").alias("answer")).collect()])
-    block.keep(*decontaminate.stretch_frequency(docs.select("text"), block.vocabulary))
-    found = common.written(decontaminate.passages(docs.select("doc_id", "text"), block), "test")
-    axes = decontaminate.latent_axes(found, block)
-    rows = [block.vectors]
-    for r in found.collect():
-        x = np.zeros(len(block.terms))
-        x[r.terms] = np.array(r.counts) * block.idf[r.terms]
-        rows.append((x / np.linalg.norm(x))[None])
-    whole = np.concatenate(rows)
-    assert np.allclose(axes.T @ axes, np.eye(axes.shape[1]), atol=1e-6)
-    assert np.allclose(whole @ axes @ axes.T, whole, atol=1e-5)  # the rank is large enough here
+    block = blocks_of(benchmark)
+    table = common.written(decontaminate.term_table(docs.select("doc_id", "text"), block.terms), "test")
+    frequency, total = decontaminate.stretch_frequency(table, block.terms)
+    cut = [w[a : a + 32] for _, t in pairs() if (w := decontaminate.words_of(t)) for a in range(0, len(w), 32)]
+    assert total == len(cut) and frequency == {w: n for w in block.terms if (n := sum(w in x for x in cut))}
+    block.weigh(frequency, total)
+    axes = decontaminate.latent_axes(table, block, np.arange(len(block.terms)), total)
+    assert np.allclose(axes.T @ axes, np.eye(axes.shape[1]), atol=1e-4)
+    # the items, which count as much as all stretches, lie in the latent space
+    assert np.allclose(block.vectors @ axes @ axes.T, block.vectors, atol=1e-3)
+    # a small rank: as much of the whole as the best axes hold, nearly
+    many = np.zeros((len(cut), len(block.terms)))
+    for i, x in enumerate(cut):
+        for w in x:
+            if w in block.terms:
+                many[i, block.terms.index(w)] += block.idf[block.terms.index(w)]
+    many /= np.maximum(1e-12, np.linalg.norm(many, axis=1, keepdims=True))
+    whole = np.concatenate([many, block.vectors * np.sqrt(total / len(block.ids))])
+    assert np.linalg.norm(whole @ axes) ** 2 > 0.98 * (np.linalg.svd(whole)[1][: axes.shape[1]] ** 2).sum()
+
+
+def sure_leaks(rows, items):
+    """Pairs with a window that passes the check, from all windows of all documents and all items, without any search."""
+    block = decontaminate.Block(items)
+    found = set()
+    at = {w: i for i, w in enumerate(block.terms)}
+    for d, t in rows:
+        words = decontaminate.words_of(t)
+        for k, own in enumerate(block.words):
+            width = 1 + (1 << max(0, int(np.ceil(np.log2(len(own) / 32)))))
+            stretches = -(-len(words) // 32)
+            for s in range(max(1, stretches - width + 1)):
+                part = words[max(0, s * 32 - len(own)) : (s + width) * 32 + len(own)]
+                common_ = decontaminate.common_words(decontaminate.place_bits(own), len(own), part) / len(own)
+                answer = decontaminate.common_words(decontaminate.place_bits(block.answers[k]), len(block.answers[k]), part) / max(1, len(block.answers[k]))
+                if common_ >= 0.8 or common_ >= 0.6 and answer >= 0.8:
+                    found.add((d, block.ids[k]))
+    return found
+
+
+def test_latent_search_against_all_pairs(spark):
+    """Recall over all pairs of documents and items of several lengths, whole and with words replaced or left out."""
+    r = np.random.default_rng(12)
+    question = lambda n: sentence(n - 5) + " " + sentence(5)
+    items = [(k, question(n)) for k, n in enumerate([8, 12, 15, 20, 25, 31, 33, 40, 48, 60, 64, 65, 90, 130, 260])]
+    rows = [(i, prose(8, 16)) for i in range(60)]
+    for k, text in items:
+        words = text.split()
+        for j in range(6):
+            own = [w if i >= len(words) - 5 or r.random() > 0.07 * j else (word() if j % 2 else "") for i, w in enumerate(words)]
+            before, after = prose(int(r.integers(1, 5))), prose(int(r.integers(1, 5)))
+            rows.append((100 + 10 * k + j, f"{before} {' '.join(own)} {after}"))
+    want = sure_leaks(rows, [{"item_id": k, "text": t, "answer": None} for k, t in items])
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(want) > 70 and len(got) >= 0.95 * len(want), sorted(want - got)
+    assert {(100 + 10 * k, k) for k, _ in items} <= got  # whole items
+
+
+def test_latent_search_by_groups_of_blocks(spark, monkeypatch, docs):
+    monkeypatch.setattr(decontaminate, "ITEMS", 4)
+    monkeypatch.setattr(decontaminate, "GROUP", 2)
+    items = [(k, sentence(20) + " " + sentence(6)) for k in range(30)]
+    rows = [(k, prose(3) + " " + t + " " + prose(3)) for k, t in items] + [(100, None)]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, items[3], (3, "other words here")], "item_id long, text string")).collect()
+    assert Counter((x.doc_id, x.item_id) for x in got) == Counter((k, k) for k, _ in items)
+
+
+def test_long_texts_by_pieces(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_STRETCHES", 7)
+    words = [word() for _ in range(3000)]
+    item = " ".join(words[1500:1530])
+    block = decontaminate.Block([{"item_id": 1, "text": item, "answer": None}, {"item_id": 2, "text": " ".join(words[100:300]), "answer": None}])
+    block.weigh({}, 100)
+    axes = np.linalg.qr(np.concatenate([block.vectors.T, np.random.default_rng(0).normal(size=(len(block.terms), 5))], axis=1))[0].astype(np.float32)
+    own = [(i, block.terms.index(w)) for i, w in enumerate(words) if w in block.terms]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "t": pa.array([1]), "n_words": pa.array([3000], pa.int32()), "terms": pa.array([[t for _, t in own]], pa.list_(pa.int32())), "gaps": pa.array([np.diff([i for i, _ in own], prepend=0).tolist()], pa.list_(pa.int32()))})
+    part = next(decontaminate.parts([batch], np.arange(len(block.terms))))
+    assert part.place.tolist() == [i for i, _ in own] and part.term.tolist() == [t for _, t in own]
+    found = {(s, k): c for _, s, k, c in decontaminate.near_passages(part, block, axes, block.vectors @ axes)}
+    for width, k in zip(block.window.tolist(), (0, 1), strict=True):
+        for s in range(-(-3000 // 32) - width + 1):
+            v = np.zeros(len(block.terms))
+            for i, t in own:
+                if s * 32 <= i < (s + width) * 32:
+                    v[t] += block.idf[t]
+            cosine = v @ block.vectors[k] / max(1e-9, np.linalg.norm(v))
+            assert (cosine >= block.near[k]) == ((s, k) in found) or abs(cosine - block.near[k]) < 1e-3
+            assert (s, k) not in found or abs(found[s, k] - cosine) < 1e-3
 
 
 # queries
