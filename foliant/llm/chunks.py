@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over a text's UTF-8 bytes: each byte shifts the hash by one bit and adds a number from a fixed table, so its 16 bits depend on the last 16 bytes alone. A chunk ends behind a byte where the hash's top bits are zero, at least LEAST bytes from its begin, or at the latest MOST bytes from it; never inside a character. Ends depend on the bytes near them, so after an insertion the next ends fall where they did before. Chunks are joined by 128-bit digests; a chunk whose digest occurs earlier, by (doc_id, text hash, place), is a repeat, and repeats in a row make up a run.
+A gear hash rolls over a text's UTF-8 bytes: each byte shifts the hash by one bit and adds a number from a fixed table, so its 16 bits depend on the last 16 bytes alone. A chunk ends behind a byte where the hash's top bits are zero, at least LEAST bytes from its begin, or at the latest MOST bytes from it; never inside a character. Ends depend on the bytes near them, so after an insertion the next ends fall where they did before. Chunks are joined by 128-bit digests; a chunk whose digest occurs earlier, by (doc_id, text hash, place), in another document or its own, is a repeat, and repeats in a row make up a run.
 
-One 64-bit half of the digest finds the digests that occur twice; only chunks with such a half go on, by their whole digest. A digest that a third of all documents have is counted before the shuffle, and its rows meet its first place in a join that Spark can split.
+Texts are chunked twice: one 64-bit half of the digest finds the digests that occur twice, then chunks with such a half go on, by their whole digest. (A table of all chunks, written once, would take more than the texts themselves.) A digest that a third of all documents have is counted before the shuffle, and its rows meet its first place in a join that Spark can split.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SPACE, documents, id_type, small_batches, string_parts, word_spans, written
+from foliant.llm.common import SPACE, documents, forget, id_type, small_batches, string_parts, unused, word_spans, written
 
-LEAST, MOST, TOP_BITS = 24, 96, 4
-#: A run has to have so many words to count; a chunk at either end of a repeated passage may differ, so this is less than the passages of 50 words that are to be found.
+LEAST, MOST, TOP_BITS = 16, 96, 4
+#: The least length of a repeat, in words of whole chunks: shorter ones are phrases that any two texts may share. A chunk at either end of a repeated passage may differ, so this is less than the passages of 50 words that are to be found.
 RUN_WORDS = 20
 
 
@@ -96,13 +96,14 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(make, f"doc_id {id_type(docs)}, t long, ord int, start int, end int, words int, d1 long, d2 long")
 
 
-def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, within: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, within: bool = True) -> DataFrame:
     """A row for each run of repeated chunks with at least run_words words: doc_id, t, start and end (code points), words, first_doc_id (where most of the run's chunks occur first).
 
-    Without `within`, chunks that occur earlier in their own document only are no repeats. Null and empty texts have no chunks; rows alike in doc_id and text are one document; a null doc_id comes before all others; an empty table gives no rows."""
+    Without `within`, chunks that occur earlier in their own document only are no repeats. Null and empty texts have no chunks; rows alike in doc_id and text are one document; a null doc_id comes before all others; an empty table gives no rows. doc_id may have any type that can be ordered; other columns are ignored."""
     all_chunks = chunks(docs)
     twice = written(all_chunks.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "digests")
     shared = written(all_chunks.join(twice, "d1", "left_semi"), "chunks")
+    forget(twice)
     here = F.struct("doc_id", "t", "ord")
     first = written(shared.groupBy("d1", "d2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("NOT (first <=> last)").select("d1", "d2", "first"), "first")  # a table, so that Spark can split a large key's rows in the join
     later = shared.join(first, ["d1", "d2"]).where(~here.eqNullSafe(F.col("first")))
@@ -136,12 +137,13 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, within: bool = Fa
 
 
 def remove_repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, within: bool = True) -> DataFrame:
-    """docs with the runs of repeated_runs() cut out of its texts."""
-    runs = repeated_runs(docs, run_words, within).groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs")).withColumnsRenamed({"doc_id": "_id", "t": "_t"})
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(runs.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(runs["_id"]) & (keyed["_key"] == runs["_t"]), "left")
-    pieces = F.expr("concat(array_join(transform(_runs, (r, i) -> substring(text, coalesce(get(_runs, i - 1).end, 0) + 1, r.start - coalesce(get(_runs, i - 1).end, 0))), ''), substring(text, element_at(_runs, -1).end + 1))")
-    return joined.withColumn("text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(pieces)).select(*docs.columns)
+    """docs with the runs of repeated_runs() cut out of its texts; its columns stay as they are, whatever their names."""
+    own_id, own_key, runs, key = unused(docs, "own_id", "own_key", "runs", "key")
+    found = repeated_runs(docs, run_words, within).groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(runs)).withColumnsRenamed({"doc_id": own_id, "t": own_key})
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    joined = keyed.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)), "left")
+    pieces = F.expr(f"concat(array_join(transform({runs}, (r, i) -> substring(text, coalesce(get({runs}, i - 1).end, 0) + 1, r.start - coalesce(get({runs}, i - 1).end, 0))), ''), substring(text, element_at({runs}, -1).end + 1))")
+    return joined.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(pieces)).select(*docs.columns)
 
 
 def op2_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

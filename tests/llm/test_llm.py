@@ -380,7 +380,7 @@ def test_gear_hash_and_chunks():
 def test_repeated_passages(spark, docs, none):
     passage = prose(4, 16)
     more = spark.createDataFrame([(100, prose(3) + " " + passage + " " + prose(2)), (101, prose(1) + passage), (102, prose(5)), (103, "é " + prose(2) + passage[3:])], "doc_id long, text string")
-    got = chunks.repeated_runs(more).collect()
+    got = chunks.repeated_runs(more, within=False).collect()
     assert {r.doc_id for r in got} == {101, 103} and {r.first_doc_id for r in got} == {100}
     texts = {r.doc_id: r.text for r in more.collect()}
     for r in got:
@@ -393,6 +393,75 @@ def test_repeated_passages(spark, docs, none):
     assert chunks.repeated_runs(none).count() == 0
 
 
+def slow_chunks(text):
+    """Places of the chunks' ends in bytes, a byte at a time."""
+    data = text.encode()
+    ends, last = [], 0
+    for i in range(len(data)):
+        h = sum(int(chunks.GEAR[data[i - j]]) << j for j in range(min(16, i + 1))) % (1 << 16)
+        inside = i + 1 < len(data) and data[i + 1] & 0xC0 == 0x80
+        while i + 1 - last > chunks.MOST:
+            cut = last + chunks.MOST
+            while data[cut] & 0xC0 == 0x80:
+                cut -= 1
+            ends.append(cut)
+            last = cut
+        if i + 1 - last >= chunks.LEAST and h >> (16 - chunks.TOP_BITS) == 0 and not inside:
+            ends.append(i + 1)
+            last = i + 1
+    return [*ends, len(data)] if last < len(data) else ends
+
+
+def slow_runs(rows, run_words, within):
+    key = lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, signed_hash(r[1]))
+    first, found = {}, Counter()
+    for d, t in sorted(set(rows), key=key):
+        data, last, run = (t or "").encode(), 0, []
+        for i, end in enumerate([*slow_chunks(t or ""), None]):
+            seen = None
+            if end is not None:
+                seen = first.setdefault(data[last:end], (d, t, i))
+            if seen is not None and seen != (d, t, i) and (within or seen[0] != d):
+                run.append((last, end, seen[0]))
+            else:
+                words = len([m for m in re.finditer(rb"[^\x20\x09-\x0d]+", data) if run and run[0][0] <= m.start() < run[-1][1]])
+                if run and words >= run_words:
+                    firsts = [x[2] for x in run]
+                    found[d, len(data[: run[0][0]].decode()), len(data[: run[-1][1]].decode()), words, max(dict.fromkeys(firsts), key=firsts.count)] += 1
+                run = []
+            last = end
+    return found
+
+
+@pytest.mark.parametrize("run_words, within", [(1, True), (1, False), (chunks.RUN_WORDS, True)])
+def test_repeated_runs_against_brute_force(spark, run_words, within):
+    shared_ = [prose(1, n) for n in (6, 12, 30, 60)]
+    rows = [(i, (t if t is None or len(t) < 20_000 else t[:20_000])) for i, t in enumerate(TEXTS)]
+    rows += [(200 + i, prose(2) + " " + " ".join(shared_[j] for j in R.integers(0, 4, 3)) + prose(1)) for i in range(12)] + [(None, shared_[3]), rows[2], (3, rows[4][1])]
+    got = chunks.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), run_words, within)
+    assert Counter((r.doc_id, r.start, r.end, r.words, r.first_doc_id) for r in got.collect()) == slow_runs(rows, run_words, within)
+
+
+def test_short_passages_are_found():
+    """Passages of 51 words, of short and of usual ones, in two documents."""
+    r = np.random.default_rng(7)
+    for size, most in ((3.5, 0.04), (5.3, 0.02)):
+        some = lambda n: " ".join("".join(chr(97 + x) for x in r.integers(0, 26, 1 + r.poisson(size - 1))) for _ in range(n))  # noqa: B023, E731
+        missed = 0
+        for _ in range(200):
+            passage, found = some(51), []
+            for text in (some(40) + " " + passage + " " + some(30), some(33) + " " + passage + " " + some(41)):
+                data = np.frombuffer(text.encode(), np.uint8)
+                ends = chunks.chunk_ends(data, np.array([0, len(data)]))[0]
+                found.append([data[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)])
+            best = now = 0
+            for x in found[1]:
+                now = now + len(x.split()) if x in set(found[0]) else 0
+                best = max(best, now)
+            missed += best < chunks.RUN_WORDS
+        assert missed <= 200 * most, missed
+
+
 # language, toxicity, quality, personal data
 
 
