@@ -27,6 +27,8 @@ _SLICE, _FAN = 256, 32
 _MOST = 1 << 15
 #: Stretches whose vectors are in memory at a time.
 _STRETCHES = 2048
+#: The most frequent terms, whose part of a product is a dense one.
+_DENSE = 256
 
 
 def words_of(text: str | None) -> list[str]:
@@ -66,10 +68,11 @@ class Block:
         rows = [(r["item_id"], words_of(r["text"]), words_of(r["answer"]) or words_of(last_sentence(r["text"] or ""))) for r in rows]
         rows = [r for r in rows if r[1]]
         self.ids, self.words, self.answers = ([r[i] for r in rows] for i in range(3))
-        self.terms = sorted({w for x in self.words for w in x} | {w for x in self.answers for w in x})
+        self.terms = sorted({w for x in (*self.words, *self.answers) for w in x})
 
     def weigh(self, frequency: dict[str, int], total: int) -> None:
-        """frequency: in how many of `total` stretches each term occurs."""
+        """frequency: in how many of `total` stretches each term occurs. Puts the most frequent terms first."""
+        self.terms = sorted(self.terms, key=lambda w: (-frequency.get(w, 0), w))
         at = {w: i for i, w in enumerate(self.terms)}
         df = np.array([frequency.get(w, 0) for w in self.terms], float)
         self.idf = (np.log((1 + total) / (1 + df)) + 1e-6).astype(np.float32)
@@ -160,15 +163,37 @@ def stretch_frequency(table: DataFrame, words: list[str]) -> tuple[dict[str, int
     return {words[i]: n for i, n in found.items()}, total
 
 
-def _products(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
-    """The sparse matrix (row, term, weight; rows in order) times matrix."""
-    out = np.zeros((n, matrix.shape[1]), np.float32)
-    if len(row):
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[first]] = np.add.reduceat(matrix[term] * weight[:, None], first, axis=0)
+def _dense(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, terms: int) -> np.ndarray:
+    """The first _DENSE columns of a sparse matrix of n rows."""
+    out = np.zeros((n, min(_DENSE, terms)), np.float32)
+    own = term < _DENSE
+    out[row[own], term[own]] = value[own]
     return out
 
 
+def _sums(key: np.ndarray, place: np.ndarray, value: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (given in order), and for each the sum of value * matrix[place]; keys with equally many entries are taken together."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    out = np.empty((len(first), matrix.shape[1]), np.float32)
+    for k in np.unique(count).tolist():
+        some = np.flatnonzero(count == k)
+        for own in np.array_split(some, max(1, len(some) * k >> 14)):
+            at = first[own][:, None] + np.arange(k)
+            out[own] = np.matmul(value[at][:, None, :], matrix[place[at]])[:, 0]
+    return key[first], out
+
+
+def _products(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse matrix (row, term, value; rows in order) times matrix, and its first columns."""
+    dense = _dense(row, term, value, n, len(matrix))
+    out = dense @ matrix[: dense.shape[1]]
+    rare = term >= _DENSE
+    rows, more = _sums(row[rare], term[rare], value[rare], matrix)
+    out[rows] += more
+    return out, dense
+
+
 def _units(part: Part, idf: np.ndarray):
     """The part's stretches at length one, some at a time: row, term, weight and number of rows."""
     at, term, n = part.counts(part.stretch, part.term, len(idf))
@@ -222,18 +247,19 @@ def latent_axes(table: DataFrame, block: Block, local: np.ndarray, total: int, s
 
     def power(part, sums):
         for row, term, weight, n in _units(part, idf):
-            y = _products(row, term, weight, n, start)
-            order = np.argsort(term, kind="stable")
-            row, term, weight = row[order], term[order], weight[order]
-            first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-            sums[term[first]] += np.add.reduceat(y[row] * weight[:, None], first, axis=0)
+            y, dense = _products(row, term, weight, n, start)
+            sums[: dense.shape[1]] += dense.T @ y
+            rare = np.flatnonzero(term >= _DENSE)
+            rare = rare[np.argsort(term[rare], kind="stable")]
+            terms, more = _sums(term[rare], row[rare], weight[rare], y)
+            sums[terms] += more
 
     q, _ = np.linalg.qr(add_up(table, power, local, size, rank) + share * (block.vectors.T @ (block.vectors @ start)))
     q = q.astype(np.float32)
 
     def gram(part, sums):
         for row, term, weight, n in _units(part, idf):
-            y = _products(row, term, weight, n, q)
+            y, _ = _products(row, term, weight, n, q)
             sums += y.T @ y
 
     own = block.vectors @ q
@@ -252,28 +278,31 @@ def near_passages(part: Part, block: Block, axes: np.ndarray, items: np.ndarray)
         high = min(part.stretches, low + _STRETCHES + widths[-1])
         a, b = np.searchsorted(all_at, [low, high]).tolist()
         at, term, n = all_at[a:b] - low, all_term[a:b], all_n[a:b]
-        folded = np.zeros((high - low + 1, axes.shape[1]))
-        np.cumsum(_products(at, term, (n * block.idf[term]).astype(np.float32), high - low, axes), axis=0, dtype=float, out=folded[1:])
+        y, dense = _products(at, term, (n * block.idf[term]).astype(np.float32), high - low, axes)
+        folded, common = (np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=float)]) for x in (y, dense))
+        rare = term >= _DENSE
+        at, term, n = at[rare], term[rare], n[rare]
         for width in widths:
             own = np.flatnonzero(block.window == width)
             begin = np.arange(low, min(part.stretches, low + _STRETCHES))
             first, last = part.first[:-1][row_of[begin]], part.first[1:][row_of[begin]]
             kept = (begin + width <= last) | (begin == first)
             begin, stop = begin[kept] - low, np.minimum(begin + width, last)[kept] - low
-            # the passages' lengths, from their counts: each stretch's cells go to the passages that hold it
+            if not len(begin):
+                continue
+            # the passages' lengths, from their counts; each stretch's rare terms go to the passages that hold it
+            squares = np.square(common[stop] - common[begin]).sum(axis=1)
             number = np.full(high - low, -1)
             number[begin] = np.arange(len(begin))
             from_ = np.concatenate([at - k for k in range(width)])
             passage = np.where(from_ >= 0, number[np.maximum(from_, 0)], -1)
-            held = (passage >= 0) & (np.tile(at, width) < stop[passage]) if len(stop) else np.zeros(len(passage), bool)
-            if not held.any():
-                continue
+            held = (passage >= 0) & (np.tile(at, width) < stop[passage])
             cell, place = np.unique(passage[held] * size + np.tile(term, width)[held], return_inverse=True)
-            weight = np.bincount(place, np.tile(n, width)[held]) * block.idf[cell % size]
-            length = np.sqrt(np.bincount(cell // size, weight * weight, minlength=len(begin)))
+            weight = np.bincount(place, np.tile(n, width)[held], minlength=len(cell)) * block.idf[cell % size]
+            length = np.sqrt(squares + np.bincount(cell // size, weight * weight, minlength=len(begin)))
             y = (folded[stop] - folded[begin]).astype(np.float32)
             cosine = y @ items[own].T / np.maximum(1e-9, length)[:, None].astype(np.float32)
-            i, j = np.nonzero((cosine >= block.near[own][None, :].astype(np.float32)) & (length > 0)[:, None])
+            i, j = np.nonzero((cosine >= block.near[own][None, :].astype(np.float32)) & (length > 1e-9)[:, None])
             row = row_of[begin[i] + low]
             yield from zip(row.tolist(), (begin[i] + low - part.first[row]).tolist(), own[j].tolist(), cosine[i, j].tolist(), strict=True)
 

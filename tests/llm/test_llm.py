@@ -829,12 +829,13 @@ def test_latent_search_by_groups_of_blocks(spark, monkeypatch, docs):
 
 def test_long_texts_by_pieces(monkeypatch):
     monkeypatch.setattr(decontaminate, "_STRETCHES", 7)
+    monkeypatch.setattr(decontaminate, "_DENSE", 20)
     words = [word() for _ in range(3000)]
     item = " ".join(words[1500:1530])
     block = decontaminate.Block([{"item_id": 1, "text": item, "answer": None}, {"item_id": 2, "text": " ".join(words[100:300]), "answer": None}])
     block.weigh({}, 100)
     axes = np.linalg.qr(np.concatenate([block.vectors.T, np.random.default_rng(0).normal(size=(len(block.terms), 5))], axis=1))[0].astype(np.float32)
-    own = [(i, block.terms.index(w)) for i, w in enumerate(words) if w in block.terms]
+    own = [(i, block.terms.index(w)) for i, w in enumerate(words) if w in block.terms]  # in the order of weigh()
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "t": pa.array([1]), "n_words": pa.array([3000], pa.int32()), "terms": pa.array([[t for _, t in own]], pa.list_(pa.int32())), "gaps": pa.array([np.diff([i for i, _ in own], prepend=0).tolist()], pa.list_(pa.int32()))})
     part = next(decontaminate.parts([batch], np.arange(len(block.terms))))
     assert part.place.tolist() == [i for i, _ in own] and part.term.tolist() == [t for _, t in own]
