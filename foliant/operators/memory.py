@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.matching import texts_with
 
 MOST_TERMS = 40
 # Prefixes of scopes.
@@ -39,7 +40,10 @@ def scope_matches(scope: Column, sections: Column, types: Column, blocks: Column
 def terms_for_pages(glossary: DataFrame, chunks: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """Up to `most` terms for each chunk (doc_id, chunk_id, first, last: pages from 1): those whose first page is in range, then those without a page, by ordinal."""
     usable = glossary.where(F.lower(F.trim(F.coalesce("status", F.lit("")))) != "rejected")
-    j = chunks.join(usable, F.col("first_page").isNull() | F.col("first_page").between(F.col("first"), F.col("last")))
+    paged = usable.where("first_page IS NOT NULL").join(chunks.withColumn("first_page", F.explode(F.sequence("first", "last"))), "first_page")
+    anywhere = usable.where("first_page IS NULL").orderBy("ordinal").limit(most)  # no chunk takes more of them
+    j = chunks.join(F.broadcast(anywhere), F.lit(True))
+    j = j.unionByName(paged.select(*j.columns))
     w = Window.partitionBy("doc_id", "chunk_id").orderBy(F.col("first_page").isNull(), "ordinal")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
@@ -57,15 +61,16 @@ def merge_arrivals(existing: DataFrame, arrivals: DataFrame) -> tuple[DataFrame,
     have = existing.withColumn("_old", F.lit(True)).select("ordinal", "en", "zh", "first_page", "source", "status", "_old")
     new = arrivals.where((F.trim("en") != "") & (F.trim("zh") != "")).select("ordinal", F.trim("en").alias("en"), F.trim("zh").alias("zh"), "first_page", "source", F.lit("candidate").alias("status"), F.lit(False).alias("_old"))
     both = have.unionByName(new).withColumn("_key", T.term_key("en"))
-    order = [F.desc("_old"), "ordinal"]
     ranked = both.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_old").orderBy("ordinal"))).withColumn("_known", F.bool_or(F.col("_old")).over(Window.partitionBy("_key")))
     added = ranked.where(~F.col("_old") & ~F.col("_known") & (F.col("_n") == 1))
     kept = ranked.where("_old").unionByName(added)
     values = kept.groupBy("_key").agg(F.array_sort(F.collect_set(F.trim("zh"))).alias("existing_zh"))
     late = ranked.where(~F.col("_old")).join(added.select("_key", F.col("ordinal").alias("_a")), "_key", "left").where(F.col("_a").isNull() | (F.col("ordinal") != F.col("_a")))
     conflicts = late.join(values, "_key").where(~F.array_contains("existing_zh", F.col("zh"))).select(F.lit("glossary_conflict").alias("type"), "en", F.col("zh").alias("candidate_zh"), F.col("existing_zh").alias("existing"), "first_page", "source", "ordinal")
-    earlier = Window.partitionBy(F.trim("zh")).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    shared = kept.withColumn("_before", F.collect_list("en").over(earlier)).where(~F.col("_old") & (F.size("_before") > 0)).select(F.lit("shared_translation_review").alias("type"), "en", F.col("zh").alias("candidate_zh"), F.col("_before").alias("existing"), "first_page", "source", "ordinal")
+    # a translation's terms in order of arrival, gathered once; each is reviewed beside those before it
+    users = kept.groupBy(F.trim("zh")).agg(F.sort_array(F.collect_list(F.struct((~F.col("_old")).alias("new"), "ordinal", "en", "zh", "first_page", "source"))).alias("_all")).where(F.size("_all") > 1)
+    late_users = users.select("_all", F.posexplode("_all").alias("_at", "x")).where("_at > 0 AND x.new").select("x.*", F.transform(F.slice("_all", F.lit(1), F.col("_at")), lambda x: x["en"]).alias("_before"))
+    shared = late_users.select(F.lit("shared_translation_review").alias("type"), "en", F.col("zh").alias("candidate_zh"), F.col("_before").alias("existing"), "first_page", "source", "ordinal")
     return kept.select("ordinal", "en", "zh", "first_page", "source", "status"), conflicts.unionByName(shared).dropDuplicates(["type", "en", "candidate_zh"])
 
 
@@ -93,7 +98,8 @@ def review_counts(glossary: DataFrame, pending: DataFrame) -> DataFrame:
 
 def stale_chunks(confirmed: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks that confirmed terms make stale, with the terms and reasons: the translation is missing, lacks the confirmed one, or has a rejected one. confirmed: en, zh, rejected_zh, section_scope; chunks: doc_id, chunk_id, source, target, sections, types, block_ids."""
-    j = chunks.join(confirmed, T.holds_term("source", "en") & scope_matches(F.col("section_scope"), F.col("sections"), F.col("types"), F.col("block_ids")))
+    j = texts_with(chunks.withColumn("_source", T.term_key("source")), confirmed.withColumn("_en", T.term_key("en")).where("_en <> ''"), "_source", "_en").drop("_source", "_en")
+    j = j.where(T.holds_term("source", "en") & scope_matches(F.col("section_scope"), F.col("sections"), F.col("types"), F.col("block_ids")))
     old = F.exists(F.coalesce("rejected_zh", F.array().cast("array<string>")), lambda x: (x != "") & T.holds_translation("target", x))
     reason = F.when(F.col("target").isNull(), "missing_translation").when(~T.holds_translation("target", "zh") & old, "rejected_translation_present").when(~T.holds_translation("target", "zh"), "confirmed_translation_missing")
     rows = j.withColumn("reason", reason).where("reason IS NOT NULL")

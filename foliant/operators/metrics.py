@@ -43,10 +43,10 @@ def estimate_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     b, m = F.lower(F.trim(F.coalesce("backend", F.lit("")))), F.lower(F.trim(F.coalesce("model", F.lit(""))))
     both = (b != "") & (m != "")
     ways = F.array_compact(F.array(F.when(both, F.concat(b, F.lit(":"), m)), F.when(both, F.concat(b, F.lit("/"), m)), F.nullif(m, F.lit("")), F.nullif(b, F.lit("")), F.lit("default")))
-    id_ = usage.withColumn("_id", F.xxhash64(*usage.columns))
-    keyed = id_.select("_id", F.posexplode(ways).alias("_rank", "key")).distinct()
-    best = keyed.join(prices.withColumn("key", F.lower("key")), "key").groupBy("_id").agg(F.min_by(F.struct(*prices.columns), "_rank").alias("_p"))
-    j = id_.join(best, "_id", "left").drop("_id")
+    kinds = usage.select(b.alias("_b"), m.alias("_m")).distinct()
+    keyed = kinds.withColumns({"backend": F.col("_b"), "model": F.col("_m")}).select("_b", "_m", F.posexplode(ways).alias("_rank", "key"))
+    best = keyed.join(prices.withColumn("key", F.lower("key")), "key").groupBy("_b", "_m").agg(F.min_by(F.struct(*prices.columns), "_rank").alias("_p"))
+    j = usage.withColumns({"_b": b, "_m": m}).join(best, ["_b", "_m"], "left").drop("_b", "_m")
     million = lambda c, price: F.col(c) / 1_000_000 * F.coalesce(F.col(f"_p.{price}"), F.lit(0.0))
     j = j.withColumns({
         "configured": F.col("_p").isNotNull(),

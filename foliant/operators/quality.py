@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions import values as V
+from foliant.operators.matching import texts_with
 
 # Severities, repair rules and limits.
 SEVERE_FORMULA_KINDS = ("equation_label", "variable", "statistic")
@@ -86,11 +87,11 @@ def issues(checked: DataFrame, more: DataFrame | None = None) -> DataFrame:
 def glossary_issues(pairs: DataFrame, glossary: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Issues of terms: conflicting ones in a source, and others whose translation the target lacks. glossary: en, zh, status; conflicts: en (lower case).
 
-    The source is searched for the term anywhere, without regard to case. The glossary is small beside the chunks; the words of a chunk could be joined by equality only for terms of whole words, which these need not be."""
+    The source is searched for the term anywhere, without regard to case."""
     terms = glossary.where((F.coalesce("status", F.lit("")) != "rejected") & (F.trim("en") != "") & (F.trim("zh") != "")).select(F.lower(F.trim("en")).alias("_en"), F.trim("zh").alias("_zh")).distinct()
     clash = conflicts.select(F.lower("en").alias("_en")).distinct().withColumn("_clash", F.lit(True))
     known = terms.join(clash, "_en", "full_outer")
-    j = pairs.where("target IS NOT NULL").join(known, F.contains(F.lower("source"), F.col("_en")))
+    j = texts_with(pairs.where("target IS NOT NULL").withColumn("_source", F.lower("source")), known, "_source", "_en")
     bad = j.where("_clash").select("doc_id", "chunk_id", F.lit("glossary_translation_conflict").alias("issue_type"), F.lit("_en").alias("_x"), "_en")
     lost = j.where(F.col("_clash").isNull() & ~F.contains("target", F.col("_zh"))).select("doc_id", "chunk_id", F.lit("missing_glossary_terms").alias("issue_type"), F.lit("_en").alias("_x"), "_en")
     return bad.unionByName(lost).groupBy("doc_id", "chunk_id", "issue_type").agg(F.lit("medium").alias("severity"), F.array_sort(F.collect_set("_en")).alias("tokens"))
@@ -186,7 +187,7 @@ def effectiveness(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
 def overall_effect(by_type: DataFrame, by_chunk: DataFrame) -> DataFrame:
     """One row: issues before and after, new issues, chunks that got worse, and the verdict."""
     a = by_type.agg(F.coalesce(F.sum("before_count"), F.lit(0)).alias("before_count"), F.coalesce(F.sum("after_count"), F.lit(0)).alias("after_count"), F.coalesce(F.sum(F.when(F.col("status") == "regressed", F.col("after_count"))), F.lit(0)).alias("new_issues"))
-    b = by_chunk.agg(F.count(F.when(F.col("status").isin("regressed"), 1)).alias("regressed_chunks"))
+    b = by_chunk.agg(F.count(F.when(F.col("status").isin("regressed", "worsened"), 1)).alias("regressed_chunks"))
     delta = F.col("before_count") - F.col("after_count")
     bad = (F.col("new_issues") > 0) | (F.col("regressed_chunks") > 0)
     verdict = F.when(bad, F.when(delta > 0, "improved_with_regressions").otherwise("regressed")).when(delta > 0, "improved").when((delta == 0) & (F.col("before_count") > 0), "unchanged").when(F.col("after_count") == 0, "clean").otherwise("needs_review")

@@ -5,6 +5,7 @@ A table has doc_id, table_id, page_no, rows (ragged), column_count, row_count, h
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,19 +108,22 @@ def footnote_binding_issues(bindings: DataFrame, targets: DataFrame) -> DataFram
 
 
 def chains(tables: DataFrame, continuations: DataFrame) -> DataFrame:
-    """Tables that go on as chains: doc_id, chain (its first table), table_id, place. continuations: doc_id, previous_id, next_id, each page's last and first table, so a table has one follower at most; a chain is a walk from a head, by a recursive query. A ring has no head and gives no chain."""
-    spark = tables.sparkSession
+    """Tables that go on as chains: doc_id, chain (its first table), table_id, place. continuations: doc_id, previous_id, next_id, each page's last and first table, so a table has one follower at most. A ring has no head and gives no chain. A document's links are walked in one task, a step for each link."""
     known = tables.select("doc_id", "table_id")
     links = continuations.join(known.withColumnRenamed("table_id", "previous_id"), ["doc_id", "previous_id"], "left_semi").join(known.withColumnRenamed("table_id", "next_id"), ["doc_id", "next_id"], "left_semi").select("doc_id", "previous_id", "next_id").distinct()
-    heads = links.select("doc_id", F.col("previous_id").alias("id")).distinct().join(links.select("doc_id", F.col("next_id").alias("id")).distinct(), ["doc_id", "id"], "left_anti")
-    links.createOrReplaceTempView("foliant_chain_links")
-    heads.createOrReplaceTempView("foliant_chain_heads")
-    return spark.sql("""
-        WITH RECURSIVE walk(doc_id, chain, table_id, place) AS (
-            SELECT doc_id, id, id, 0 FROM foliant_chain_heads
-            UNION ALL
-            SELECT w.doc_id, w.chain, l.next_id, w.place + 1 FROM walk w JOIN foliant_chain_links l ON l.doc_id = w.doc_id AND l.previous_id = w.table_id
-        ) SELECT doc_id, chain, table_id, place FROM walk""")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        follower = dict(zip(pdf["previous_id"], pdf["next_id"], strict=True))
+        found = []
+        for head in sorted(set(follower) - set(follower.values())):
+            place, at = 0, head
+            while at is not None:
+                found.append((pdf["doc_id"].iloc[0], head, at, place))
+                place, at = place + 1, follower.get(at)
+        return pd.DataFrame(found, columns=["doc_id", "chain", "table_id", "place"])
+
+    kinds = {c: links.schema[c].dataType.simpleString() for c in ("doc_id", "previous_id")}
+    return links.groupBy("doc_id").applyInPandas(walk, f"doc_id {kinds['doc_id']}, chain {kinds['previous_id']}, table_id {kinds['previous_id']}, place int")
 
 
 def merge_chains(walks: DataFrame, tables: DataFrame) -> DataFrame:

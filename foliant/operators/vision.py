@@ -89,7 +89,10 @@ def upsert_results(base: DataFrame, override: DataFrame) -> DataFrame:
     first = base.withColumn("_n", F.row_number().over(Window.partitionBy("task_id").orderBy("ordinal")))
     latest = override.withColumn("_n", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("ordinal")))).where("_n = 1").drop("_n")
     places = first.where("_n = 1").select("task_id", F.col("ordinal").alias("_at"))
-    replaced = latest.join(places, "task_id", "left").withColumn("ordinal", F.coalesce("_at", F.lit(1 << 40) + F.col("ordinal"))).drop("_at")
+    # new tasks come behind the last ordinal there is
+    end, begin = base.agg(F.max("ordinal")).first()[0], override.agg(F.min("ordinal")).first()[0]
+    shift = 0 if end is None or begin is None else end + 1 - begin
+    replaced = latest.join(places, "task_id", "left").withColumn("ordinal", F.coalesce("_at", F.col("ordinal") + shift)).drop("_at")
     gone = latest.select("task_id", F.lit(1).alias("_n"))
     return first.join(gone, ["task_id", "_n"], "left_anti").drop("_n").unionByName(replaced.select(*base.columns))
 

@@ -65,13 +65,15 @@ def promote(assessed: DataFrame, candidates: DataFrame) -> DataFrame:
 
     assessed: doc_id, task_id, block_id, page_no, target_index, status, preview; candidates: doc_id, block_id, page_no, index, task_id, text. The candidate at the target's index counts where its task or text agrees, else the first of the same task. Only status `candidate` is promoted."""
     own = candidates.select(F.col("doc_id").alias("_d"), F.col("block_id").alias("_b"), F.col("page_no").alias("_p"), "index", F.col("task_id").alias("_task"), F.col("text").alias("_text"))
-    items = assessed.withColumn("_item", F.xxhash64(*assessed.columns))  # rows alike in all columns have the same candidate
+    items = assessed.distinct()  # rows alike in all columns have the same candidate
     target = F.when(F.coalesce("block_id", F.lit("")) != "", F.col("block_id").eqNullSafe(F.col("_b"))).otherwise(F.col("_b").isNull() & (F.col("page_no") == F.col("_p")))
     j = items.join(own, (F.col("doc_id") == F.col("_d")) & target, "left")
     agrees = (F.col("index") == F.col("target_index")) & ((F.col("_task") == F.col("task_id")) | (F.trim("_text") == F.trim("preview")))
     rank = F.when(agrees, 0).when(F.col("_task") == F.col("task_id"), 1)
-    best = j.groupBy("_item").agg(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), "index", "_text"))).alias("_best"))
-    out = items.join(best, "_item").drop("_item")
+    best = j.groupBy(*assessed.columns).agg(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), "index", "_text"))).alias("_best"))
+    names = {c: f"_{i}_{c}" for i, c in enumerate(assessed.columns)}
+    alike = [F.col(c).eqNullSafe(F.col(x)) for c, x in names.items()]
+    out = assessed.join(best.withColumnsRenamed(names), alike).drop(*names.values())
     reason = F.when(F.col("status") != "candidate", F.concat(F.lit("status_"), "status")).when(F.col("_best").isNull(), "source_candidate_missing").when(F.trim("_best._text") == "", "empty_text")
     return out.withColumns({"promoted_text": F.when(reason.isNull(), F.col("_best._text")), "skip_reason": reason}).drop("_best")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions import values as V
-from foliant.operators import chunking, experiments, jobs, memory, metrics, quality, schemas, structure, tables, translate, vision
+from foliant.operators import chunking, experiments, jobs, matching, memory, metrics, quality, schemas, structure, tables, translate, vision
 from foliant.sources import readers, writers
 
 BOX = lambda x0, y0, x1, y1: {"x0": float(x0), "y0": float(y0), "x1": float(x1), "y1": float(y1)}
@@ -335,6 +335,11 @@ def test_effectiveness(spark):
     kinds = quality.effectiveness(a, b, ["issue_type"])
     assert rows(kinds, "issue_type", "before_count", "after_count", "status") == [("x", 2, 1, "improved"), ("y", 1, 0, "resolved"), ("z", 0, 1, "regressed")]
     assert quality.overall_effect(kinds, quality.effectiveness(a, b, ["chunk_id"])).first().verdict == "improved_with_regressions"
+    # fewer issues in all, of no new kind, but more of them in one chunk
+    a = spark.createDataFrame([("c0", "x")] * 5 + [("c1", "x")], schema)
+    b = spark.createDataFrame([("c1", "x")] * 3, schema)
+    worse = quality.overall_effect(quality.effectiveness(a, b, ["issue_type"]), quality.effectiveness(a, b, ["chunk_id"])).first()
+    assert (worse.regressed_chunks, worse.new_issues, worse.verdict) == (1, 0, "improved_with_regressions")
 
 
 def test_cell_and_relation_issues(spark):
@@ -361,6 +366,30 @@ def test_chains(spark):
     assert got["t3"].merge_status == "rejected" and "column_count_drift" in got["t3"].reject_reasons and got["t3"].rows is None
 
 
+def test_a_long_chain_and_a_ring(spark):
+    links = [("d", f"t{i:04d}", f"t{i + 1:04d}") for i in range(500)] + [("e", "a", "b"), ("e", "b", "a")]
+    t = spark.createDataFrame([(d, x) for d, x in {(d, x) for d, *xs in links for x in xs}], "doc_id string, table_id string")
+    got = tables.chains(t, spark.createDataFrame(links, "doc_id string, previous_id string, next_id string")).orderBy("place").collect()
+    assert [(r.doc_id, r.chain, r.table_id, r.place) for r in got] == [("d", "t0000", f"t{i:04d}", i) for i in range(501)]
+
+
+def test_texts_with_terms_by_either_way(spark):
+    texts = ["a neural net", "abc", "", None, "ab", "the nets net it", "日本の網"]
+    terms = ["net", "neural", "abc", "a", "", "ab", "網", "neural net", "nets net", "zzz"]
+    left = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    right = spark.createDataFrame([(x,) for x in terms], "term string")
+    want = sorted((i, x) for i, t in enumerate(texts) for x in terms if t and x and x in t)
+    for most in (100, 0):
+        assert rows(matching.texts_with(left, right, "text", "term", most), "i", "term") == want
+
+
+def test_repeated_paragraphs_of_a_long_document(spark):
+    lines_ = [f"line number {i % 15_000} of a long document" for i in range(20_000)]
+    df = spark.createDataFrame([("\n".join(lines_),), ("once in a text here\n  once  in a text here",), (None,)], "text string")
+    got = [r[0] for r in df.select(T.repeated_paragraphs("text", least=10, parted="\n")).collect()]
+    assert got == [lines_[:5000], ["once in a text here"], []]
+
+
 def test_spans(spark):
     t = spark.createDataFrame([("d", "t1", 1, [["Group"], ["a", "", "c"], ["b", "x", ""], ["", "y", "z"]], 3, 4, [], [])], TABLE)
     found = tables.span_candidates(t)
