@@ -1,6 +1,6 @@
 """Quality rules: fixed limits on counts of words and lines, then robust multivariate outliers per language and source.
 
-All of it is DataFrame expressions. Each text is read once, into a narrow written table of counts. A group's location and scatter are its minimum-covariance-determinant estimate: of the sets of H_SHARE of its rows that concentration steps lead to from two starts, the one whose covariance has the smaller determinant. A start's steps end when its determinant falls no more. A step takes the rows whose squared Mahalanobis distance is at most the group's quantile at H_SHARE (percentile_approx, with a rank error below 1/ACCURACY) and computes their mean and covariance by sums that combine before the shuffle, so a group with a third of all rows is no hot spot. The covariance is scaled to be consistent for normal data, FLOOR is added to its diagonal (many texts have no symbol and no repeat at all, so a half of them has no spread), and rows beyond CUT are outliers. The floors are small enough for each statistic to pass CUT on its own: in a group without repeats, over 44 of a hundred repeated lines do, or as many repeated words, which is below the fixed limit.
+All of it is DataFrame expressions. Each text is read once, into a narrow written table of counts. A group's location and scatter are its minimum-covariance-determinant estimate: of the sets of H_SHARE of its rows that concentration steps lead to from several starts, the one whose covariance has the least determinant. A start's steps end when its determinant falls no more. A step takes the rows whose squared Mahalanobis distance is at most the group's quantile at H_SHARE (percentile_approx, with a rank error below 1/ACCURACY) and computes their mean and covariance by sums that combine before the shuffle, so a group with a third of all rows is no hot spot. The covariance is scaled to be consistent for normal data, FLOOR is added to its diagonal (many texts have no symbol and no repeat at all, so a half of them has no spread), and rows beyond CUT are outliers. The floors are small enough for each statistic to pass CUT on its own: in a group without repeats, over 44 of a hundred repeated lines do, or as many repeated words, which is below the fixed limit.
 
 Groups: (language, source), for fewer than LEAST_GROUP rows the language, for fewer the whole table; rows are given no verdict where that has fewer, too. Only rows that pass the fixed limits count and are judged by distance.
 """
@@ -19,6 +19,8 @@ VECTOR = ("v_words", "v_length", "v_symbols", "v_lines", "v_repeats")
 #: Variances that are added to the covariance's diagonal.
 FLOOR = (0.05, 0.01, 0.1, 0.4, 0.4)
 H_SHARE, ACCURACY, LEAST_GROUP = 0.75, 10_000, 50
+#: Starts from a part of the rows each, besides those from medians and from all rows, and what part of them that is.
+PART_STARTS, PART = 2, 8
 #: The log determinant's least fall that calls for another step, and a bound on steps for sets that percentile_approx's error keeps moving.
 LEAST_FALL, MOST_STEPS = 1e-6, 50
 #: Tail of the chi-squared distribution beyond which a row is an outlier.
@@ -110,15 +112,17 @@ def _moments(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
 def mcd_params(rows: DataFrame) -> DataFrame:
     """g and the estimate of each group. rows: a written table with g and the vector.
 
-    Starts: the distances by each group's median and median absolute deviation, and by its plain mean and covariance."""
+    Starts: the distances by each group's median and median absolute deviation, by its plain mean and covariance, and by those of PART_STARTS parts of its rows, drawn by a hash of the vector."""
     p = range(len(VECTOR))
     median = rows.groupBy("g").agg(*(F.percentile_approx(v, 0.5, ACCURACY).alias(f"m{i}") for i, v in enumerate(VECTOR)))
     off = rows.join(small(written(median, "median")), "g")
     spread = off.groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in p), *((F.pow(F.percentile_approx(F.abs(F.col(VECTOR[i]) - F.col(f"m{i}")), 0.5, ACCURACY) * 1.4826, F.lit(2.0)) + FLOOR[i]).alias(f"c{i}{i}") for i in p))
     spread = _factor(spread.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in _PAIRS if i != j}))
-    starts = spread.withColumn("s", F.lit(0)).unionByName(_moments(rows, ["g"], 1.0).withColumn("s", F.lit(1)))
-    both = rows.withColumn("s", F.explode(F.array(F.lit(0), F.lit(1))))
+    # s: 0 by medians, 1 all rows, from 2 on a part of the rows
+    drawn = rows.withColumn("s", F.explode(F.array_compact(F.array(F.lit(1), *(F.when(F.pmod(F.xxhash64(*VECTOR, F.lit(s)), F.lit(PART)) == 0, s) for s in range(2, 2 + PART_STARTS))))))
     keys = ["g", "s"]
+    starts = spread.withColumn("s", F.lit(0)).unionByName(_moments(drawn, keys, 1.0))
+    both = rows.withColumn("s", F.explode(F.array(*(F.lit(s) for s in range(2 + PART_STARTS)))))
 
     def step(params: DataFrame) -> DataFrame:
         far = _with_distance(both.join(small(params.select(*keys)), keys, "left_semi"), params, keys)
