@@ -1,6 +1,6 @@
 """Personal data: patterns, and a character-level BiLSTM-CRF that adds spans the patterns miss.
 
-The patterns' spans always stay. The tagger is trained on the driver from labelled spans: those of the patterns in a bounded sample of documents, and forms made up by rules (numbers without a plus, addresses written with brackets) set into the sample's texts. It then reads whole texts in overlapping windows. A sound span holds a digit, an `@` or a bracketed `at`, so windows without any of them are settled without running the network; all others are decoded. Where windows overlap, each character takes its tag from the window in which it lies farthest from an edge, and spans are put together over the whole text. A span that the tagger adds must also be sound for its kind (digits, parts, Luhn) and touch no other span.
+The patterns' spans always stay. The tagger is trained on the driver from labelled spans: those of the patterns in a bounded sample of documents, and forms made up by rules (numbers without a plus, addresses written with brackets) set into the sample's texts. It then reads whole texts in overlapping windows. A span that it adds has one of the FORMS, each of which holds a digit, an `@`, a bracketed `at` or the word `dot`; windows without any of them are settled without running the network, which changes no result (a test compares both ways). Where windows overlap, each character takes its tag from the window in which it lies farthest from an edge, and spans are put together over the whole text: a tagged stretch stands for the form that it lies on for the most part, of its own kind where there is one, which must be sound (parts, Luhn) and touch no other span.
 """
 
 from __future__ import annotations
@@ -26,7 +26,17 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match that begins inside a run of digits would begin at the run's first
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]")
+_TRIGGER = re.compile(r"[0-9@]|(?i:[(\[{] ?at ?[)\]}]|\bdot\b)")
+_LOCAL_PART, _LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
+#: What a span may look like that the tagger adds.
+FORMS = {
+    "email": re.compile(rf"{_LOCAL_PART} ?(?:@|(?i:[(\[{{] ?at ?[)\]}}])) ?{_LABEL}(?:(?:\.| ?(?i:[(\[{{] ?dot ?[)\]}}]) ?| (?i:dot) ){_LABEL})+|{_LOCAL_PART} (?i:at) {_LABEL}(?: (?i:dot) {_LABEL})+"),
+    "ip": re.compile(r"[0-9]{1,3}(?:(?: ?\. ?|\[\.\]|\(\.\)| ?(?i:\[dot\]) ?)[0-9]{1,3}){3}"),
+    "card": re.compile(r"[0-9](?:[\x20.-]{0,2}[0-9]){15,18}"),
+    "phone": re.compile(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|00[0-9]{1,3}[\x20().0-9-]{4,18}[0-9]"),
+}
+#: Characters to either side of a tagged stretch where its form may begin or end.
+AROUND = 48
 
 
 def luhn(digits: str) -> bool:
@@ -72,15 +82,23 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 def sound(kind: str, text: str) -> bool:
     """Whether a span that the tagger adds can be of its kind."""
-    digits = _digits(text)
-    if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[] ?at ?[)\]]) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[] ?dot ?[)\]]) ?[A-Za-z0-9-]+)+", text))
+    if not FORMS[kind].fullmatch(text):
+        return False
     if kind == "ip":
-        parts = re.split(r" ?\. ?|\[\.\]", text)
-        return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
-    if kind == "card":
-        return bool(re.fullmatch(r"[0-9](?:[\x20.-]{0,2}[0-9])+", text)) and 16 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|00[0-9]{1,3}[\x20().0-9-]+[0-9]", text)) and 8 <= len(digits) <= 15
+        return all(int(p) <= 255 for p in re.findall("[0-9]+", text))
+    digits = _digits(text)
+    return kind == "email" or (16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15)
+
+
+def form_of(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The sound form of a kind, between no letters or digits, that the tagged stretch lies on for the most part."""
+    best = None
+    for m in FORMS[kind].finditer(text, max(0, a - AROUND), min(len(text), b + AROUND)):
+        x, y = m.span()
+        shared = min(b, y) - max(a, x)
+        if 2 * shared >= b - a and (best is None or shared > best[0]) and sound(kind, m[0]) and (x == 0 or not text[x - 1].isalnum()) and (y == len(text) or not text[y].isalnum()):
+            best = shared, x, y
+    return best and best[1:]
 
 
 def _window_starts(text: str) -> list[int]:
@@ -105,15 +123,21 @@ def _made_up(r: np.random.Generator) -> tuple[str, str]:
     word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, r.integers(3, 9)))
     kind = KINDS[r.integers(0, 4)]
     if kind == "email":
-        at, dot = [("@", "."), ("@", "."), (" [at] ", " [dot] "), (" [at] ", " [dot] "), (" (at) ", "."), (" (at) ", "."), (" @ ", ".")][r.integers(0, 7)]
-        return kind, f"{word()}{['', '.', '_'][r.integers(0, 3)]}{word()}{n(int(r.integers(0, 2) * r.integers(1, 4)))}{at}{word()}{dot}{['com', 'org', 'net', 'example'][r.integers(0, 4)]}"
+        at, dot = [("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", "."), ("(at)", "(dot)"), (" @ ", "."), (" at ", " dot "), (" {at} ", " {dot} ")][r.integers(0, 8)]
+        ends = ["com", "org", "net", "example", "io", "co"]
+        host = dot.join([word() for _ in range(int(r.integers(1, 3)))] + [ends[r.integers(0, len(ends))]])
+        return kind, f"{word()}{['', '.', '_', '-'][r.integers(0, 4)]}{word()}{n(int(r.integers(0, 2) * r.integers(1, 4)))}{at}{host}"
     if kind == "ip":
-        return kind, [".", ".", "[.]", " . "][r.integers(0, 4)].join(str(x) for x in r.integers(0, 256, 4))
+        return kind, [".", "[.]", " . ", "(.)", "[dot]"][r.integers(0, 5)].join(str(x) for x in r.integers(0, 256, 4))
     if kind == "card":
-        digits = "4" + n(14)
+        digits = "3456"[r.integers(0, 4)] + n(14)
         digits += next(str(x) for x in range(10) if luhn(digits + str(x)))
-        return kind, ["", " ", "-", "."][r.integers(0, 4)].join([digits[:4], digits[4:8], digits[8:12], digits[12:]])
-    return kind, [f"+{n(1)} ({n(3)}) {n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"+{n(2)} {n(3)} {n(4)} {n(3)}", f"00{n(2)} {n(3)} {n(6)}"][r.integers(0, 5)]
+        return kind, ["", " ", "-", ".", ".", "  "][r.integers(0, 6)].join([digits[:4], digits[4:8], digits[8:12], digits[12:]])
+    sep = " -."[r.integers(0, 3)]
+    abroad = sep.join(["00" + n(int(r.integers(1, 4))), *(n(int(k)) for k in r.integers(1, 8, int(r.integers(2, 4))))])
+    if not 8 <= len(_digits(abroad)) <= 15:
+        abroad = f"00{n(2)}{sep}{n(3)}{sep}{n(6)}"
+    return kind, [f"+{n(1)} ({n(3)}) {n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}{sep}{n(3)}{sep}{n(4)}", f"+{n(2)} {n(3)} {n(4)} {n(3)}", abroad][r.integers(0, 5)]
 
 
 def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -166,11 +190,11 @@ def train(texts: list[str]) -> Tagger:
     return tagger
 
 
-def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
-    """The tagger's sound spans of each text."""
+def tagged_spans(texts: list[str], tagger: Tagger, starts_of=_window_starts) -> list[list[tuple[str, int, int]]]:
+    """The tagger's sound spans of each text. starts_of: which windows are decoded."""
     rows, windows, found = [], [], [[] for _ in texts]
     for i, text in enumerate(texts):
-        starts = _window_starts(text)
+        starts = starts_of(text)
         if starts:
             codes = classes(text)
             rows += [(i, s) for s in starts]
@@ -193,8 +217,12 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int,
             deep[here][better] = depth[better]
         for a, b, kind in _runs(own):
             a, b = a + first, min(b + first, len(text))
-            if a < b and sound(KINDS[kind], text[a:b]) and (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum()):
-                found[i].append((KINDS[kind], a, b))
+            for name in (KINDS[kind], *KINDS) if a < b else ():  # its own kind first
+                form = form_of(name, text, a, b)
+                if form:
+                    if (name, *form) not in found[i][-1:]:
+                        found[i].append((name, *form))
+                    break
         at = end
     return found
 
