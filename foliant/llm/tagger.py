@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 EMBED, HIDDEN, WINDOW = 10, 16, 64
-STEPS, BATCH, RATE = 420, 48, 0.02
+STEPS, BATCH, RATE = 500, 48, 0.02
 _NEVER = -1e4
 _CHARS = "abcdefghijklmnopqrstuvwxyz0123456789@.-+ ()_%:/,\n[]{}"
 #: Class of a character: padding, others, capital letters, then one for each of _CHARS.
