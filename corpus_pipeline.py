@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontaminate, langid, lines, packing, simhash
-from foliant.llm.common import documents, shorter_batches, written
+from foliant.llm.common import documents, shorter_batches, unused, written
 
 #: The rows come from models and searches that SQL has no form for.
 ORACLE_SQL = None
@@ -20,18 +20,21 @@ LEAST_SCORE = 0.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the learnt languages."""
     shorter_batches(spark)
-    found = langid.identify(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), langid.train(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
+    own = dict(zip(("lang_pred", "score"), unused(docs, "lang_pred", "score"), strict=True))  # the documents' own columns of these names stay
+    found = langid.identify(docs.withColumnsRenamed(own), langid.train(docs))
+    known = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    return known.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated runs of lines; n_chars follows the text."""
     shorter_batches(spark)
-    cut = lines.remove_repeated_lines(docs)
+    own = dict(zip(("n_lines", "n_removed"), unused(docs, "n_lines", "n_removed"), strict=True))
+    cut = lines.remove_repeated_lines(docs.withColumnsRenamed(own))
     cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return cut.drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
