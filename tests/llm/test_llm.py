@@ -920,6 +920,77 @@ def test_query_on_odd_rows(spark, folder, name):
         got.count()
 
 
+CLASHING = ["_t", "_id", "_key", "_runs", "_n", "_text", "starts", "gone", "t", "fp", "at", "shard", "role", "lang_pred", "score", "_lang_pred", "_score", "n_lines", "n_removed", "own_id", "_own_id", "_own_key", "key", "number", "base", "spans", "g", "s", "d2", "distance", "kept", "item", "ends", "words", "_w", "_h", "part", "task", "evidence", "length"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    """A few documents with extra columns by all names that operators use."""
+    few = docs.where("text IS NULL OR length(text) < 20000").select("doc_id", "text", "lang", "source", "n_chars")
+    return few.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING))
+
+
+def untouched(got, names):
+    return all(r[c] == f"{c}:{'-' if r.doc_id is None else r.doc_id}" for r in got.select("doc_id", *names).collect() for c in names)
+
+
+def test_extra_columns_stay_as_they_are(spark, clashing, benchmark, tagger):
+    n = clashing.count()
+    for got, replaced in (
+        (lines.remove_repeated_lines(clashing), {"n_lines", "n_removed"}),
+        (chunks.remove_repeated_runs(clashing), set()),
+        (pii.find_personal_data(clashing, tagger), {"base", "spans"}),
+        (langid.identify(clashing, langid.train(clashing)), {"lang_pred", "score"}),
+    ):
+        assert set(got.columns) == {*clashing.columns, *replaced} and got.count() == n
+        assert untouched(got, [c for c in CLASHING if c not in replaced])
+    for got in (simhash.keep_one(clashing), decontaminate.without_leaks(clashing, benchmark.withColumn("terms", F.lit("x")))):
+        assert got.columns == clashing.columns and 0 < got.count() < n and untouched(got, CLASHING)
+
+
+def test_extra_columns_are_ignored(spark, clashing, benchmark):
+    plain = clashing.select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(20)], "doc_id long, toxic int, text string")
+    same = lambda run: Counter(map(str, run(clashing).collect())) == Counter(map(str, run(plain).collect()))
+    for run in (
+        chunks.repeated_runs,
+        simhash.near_duplicate_groups,
+        quality.quality_verdicts,
+        lambda d: decontaminate.leaks(d, benchmark),
+        lambda d: toxicity.score_toxicity(d, labels),
+        lambda d: packing.pack_documents(d, capacity=64).select("doc_id", "piece", "length", "ids_crc32"),
+        lambda d: records.read_records(records.write_records(d, common.fresh_path(spark, "test"))),
+    ):
+        assert same(run)
+
+
+def test_stages_keep_clashing_columns(spark, folder, clashing):
+    kept = clashing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = common.written(stage(spark, kept, folder), "test")
+        assert kept.columns == clashing.columns and untouched(kept, CLASHING), name
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, folder).select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+
+
+def test_empty_tables_in_every_query(spark, none, tmp_path):
+    folder = f"file://{tmp_path}"
+    none.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for name, query in registry.QUERIES.items():
+        assert query(spark, folder).count() == 0, name
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_shared_folder(spark):
+    assert common.shared_dir(spark).startswith("file:/")
+    table = common.written(spark.range(3), "test")
+    assert table.count() == 3
+    common.forget(table)
+    with pytest.raises(Exception, match="[Pp]ath|exist"):
+        spark.read.parquet(table._foliant_path).count()
+
+
 def test_held_out_flags(spark, folder):
     for r in registry.QUERIES["op4_ftrl_language"](spark, folder).collect():
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
