@@ -1,6 +1,6 @@
 """Quality rules: fixed limits on counts of words and lines, then robust multivariate outliers per language and source.
 
-All of it is DataFrame expressions. Each text is read once, into a narrow written table of counts. A group's location and scatter are its minimum-covariance-determinant estimate: of the sets of H_SHARE of its rows that concentration steps lead to from several starts, the one whose covariance has the least determinant. A start's steps end when its determinant falls no more. A step takes the rows whose squared Mahalanobis distance is at most the group's quantile at H_SHARE (percentile_approx, with a rank error below 1/ACCURACY) and computes their mean and covariance by sums that combine before the shuffle, so a group with a third of all rows is no hot spot. The covariance is scaled to be consistent for normal data, FLOOR is added to its diagonal (many texts have no symbol and no repeat at all, so a half of them has no spread), and rows beyond CUT are outliers. The floors are small enough for each statistic to pass CUT on its own: in a group without repeats, over 44 of a hundred repeated lines do, or as many repeated words, which is below the fixed limit.
+All of it is DataFrame expressions. Each text is read once, into a narrow written table of counts. A group's location and scatter are its minimum-covariance-determinant estimate: of the sets of H_SHARE of its rows that concentration steps lead to from several starts, the one whose covariance has the least determinant: FIRST_STEPS steps from each, then on from the best one until its determinant falls no more. A step takes the rows whose squared Mahalanobis distance is at most the group's quantile at H_SHARE (percentile_approx, with a rank error below 1/ACCURACY) and computes their mean and covariance by sums that combine before the shuffle, so a group with a third of all rows is no hot spot. The covariance is scaled to be consistent for normal data, FLOOR is added to its diagonal (many texts have no symbol and no repeat at all, so a half of them has no spread), and rows beyond CUT are outliers. The floors are small enough for each statistic to pass CUT on its own: in a group without repeats, over 44 of a hundred repeated lines do, or as many repeated words, which is below the fixed limit.
 
 Groups: (language, source), for fewer than LEAST_GROUP rows the language, for fewer the whole table; rows are given no verdict where that has fewer, too. Only rows that pass the fixed limits count and are judged by distance.
 """
@@ -21,8 +21,8 @@ FLOOR = (0.05, 0.01, 0.1, 0.4, 0.4)
 H_SHARE, ACCURACY, LEAST_GROUP = 0.75, 10_000, 50
 #: Starts from a part of the rows each, besides those from medians and from all rows, and what part of them that is.
 PART_STARTS, PART = 2, 8
-#: The log determinant's least fall that calls for another step, and a bound on steps for sets that percentile_approx's error keeps moving.
-LEAST_FALL, MOST_STEPS = 1e-6, 50
+#: Steps from every start; after them the log determinant's least fall that calls for another step from the best start, and a bound on those for sets that percentile_approx's error keeps moving.
+FIRST_STEPS, LEAST_FALL, MOST_STEPS = 2, 1e-4, 50
 #: Tail of the chi-squared distribution beyond which a row is an outlier.
 TAIL = 1e-6
 
@@ -124,23 +124,26 @@ def mcd_params(rows: DataFrame) -> DataFrame:
     starts = spread.withColumn("s", F.lit(0)).unionByName(_moments(drawn, keys, 1.0))
     both = rows.withColumn("s", F.explode(F.array(*(F.lit(s) for s in range(2 + PART_STARTS)))))
 
-    def step(params: DataFrame) -> DataFrame:
-        far = _with_distance(both.join(small(params.select(*keys)), keys, "left_semi"), params, keys)
+    def step(table: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+        far = _with_distance(table.join(small(params.select(*keys)), keys, "left_semi"), params, keys)
         limit = written(far.groupBy(*keys).agg(F.percentile_approx("d2", H_SHARE, ACCURACY).alias("limit")), "limit")
         return written(_moments(far.join(small(limit), keys).where("d2 <= limit"), keys, _SCALE), "mcd")
 
-    falling = step(written(starts, "mcd"))
-    params = falling.limit(0)
+    # a few steps from every start, then on from the best one of each group
+    params = written(starts, "mcd")
+    for _ in range(FIRST_STEPS):
+        params = step(both, params, keys)
+    best = Window.partitionBy("g").orderBy("logdet", "s")
+    falling = written(params.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "s"), "mcd")
+    done = falling.limit(0)
     for _ in range(MOST_STEPS):
-        after = step(falling)
-        more = written(after.join(small(falling.select(*keys, F.col("logdet").alias("_before"))), keys).where(F.col("logdet") < F.col("_before") - LEAST_FALL).drop("_before"), "mcd")
-        params = params.unionByName(falling.join(small(more.select(*keys)), keys, "left_anti"))
+        after = step(rows, falling, ["g"])
+        more = written(after.join(small(falling.select("g", F.col("logdet").alias("_before"))), "g").where(F.col("logdet") < F.col("_before") - LEAST_FALL).drop("_before"), "mcd")
+        done = done.unionByName(falling.join(small(more.select("g")), "g", "left_anti"))
         falling = more
         if falling.isEmpty():
             break
-    params = written(params.unionByName(falling), "mcd")
-    best = Window.partitionBy("g").orderBy("logdet", "s")
-    return written(params.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "s"), "mcd")
+    return written(done.unionByName(falling), "mcd")
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
