@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import chunking, structure
+from foliant.operators.matching import texts_with
 from foliant.sources import readers, writers
 
 
@@ -102,10 +103,10 @@ def same_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark text, letter for letter but for case. The benchmark is a list of questions, not data that grows."""
+    """Documents that hold a benchmark text, letter for letter but for case."""
     items = _table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay"))
-    return docs.join(items, F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
+    return texts_with(docs, items, "hay", "needle").select("doc_id", "item_id")
 
 
 QUERIES = {f.__name__: f for f in (line_tokens, line_blocks, math_symbols, locked_numbers, upper_case_runs, token_estimate, repeated_lines, residual_letters, tail_snippets, page_links, page_windows, page_boundaries, sections, prior_context, same_texts, term_containment)}
