@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.plans import derived_queries, table_queries, text_queries
+from foliant.plans import derived_queries, flow_queries, table_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **derived_queries.QUERIES}
-SQL = {**text_queries.SQL, **table_queries.SQL, **derived_queries.SQL}
+QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **derived_queries.QUERIES, **flow_queries.QUERIES}
+SQL = {**text_queries.SQL, **table_queries.SQL, **derived_queries.SQL, **flow_queries.SQL}
 FLAGSHIP = text_queries.QUERIES["line_tokens"]
