@@ -77,11 +77,11 @@ def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as pages of 300 characters: where one goes on over a page's end, and what stands on both sides."""
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 300).cast("int")), lambda i: F.substring("text", i * 300 + 1, F.lit(300)))
+    """Texts as pages of 300 characters, every fifth with a hyphen behind it: where one goes on over a page's end, how, and what stands on both sides."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 300).cast("int")), lambda i: F.concat(F.substring("text", i * 300 + 1, F.lit(300)), F.when(i % 5 == 0, "-").otherwise("")))
     pages = _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.posexplode(cut).alias("page_no", "text"))
     found = structure.page_boundaries(pages.withColumns({"ord": F.lit(0), "block_id": F.lit("b"), "type": F.lit("paragraph")}))
-    return found.where(~F.col("joiner").startswith("hyphen")).select("doc_id", "boundary_id", "severity", "previous_tail", "next_head")
+    return found.select("doc_id", "boundary_id", "severity", "continuation_kind", "joiner", "previous_tail", "next_head")
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ SQL = {
         FROM k JOIN p ON p.doc_id = k.doc_id AND p.page >= 2 * k.k AND p.page < 2 * k.k + 3 GROUP BY k.doc_id, k.k""",
     "page_boundaries": rf"""
         WITH p AS (SELECT doc_id, unnest(range(0, (length(text) - 1) // 300 + 1)) AS page, text FROM documents WHERE text <> ''),
-        c AS (SELECT doc_id, page, substring(text, (page * 300 + 1)::BIGINT, 300) AS line FROM p),
+        c AS (SELECT doc_id, page, substring(text, (page * 300 + 1)::BIGINT, 300) || CASE WHEN page % 5 = 0 THEN '-' ELSE '' END AS line FROM p),
         q AS (SELECT doc_id, page, lead(page) OVER w AS next_page, CASE WHEN trim(line) <> '' THEN {_COMPACT.format('line')} END AS a, lead(CASE WHEN trim(line) <> '' THEN {_COMPACT.format('line')} END) OVER w AS b FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
         s AS (SELECT *, regexp_replace(a, '["''”’）)\]}}」』]+$', '') AS z,
               regexp_matches(b, '^[,;:)\]}}，；：）]|^[a-z]') OR regexp_matches(b, '(?i)^(and|or|but|which|that|where|while|when|with|without|between|from|to|of|in|for|as|by|than|therefore|however)\b') AS continues,
@@ -156,9 +156,13 @@ SQL = {
               FROM q WHERE a IS NOT NULL AND b IS NOT NULL),
         u AS (SELECT *, z <> '' AND NOT contains('.!?。！？', right(z, 1)) AND (contains(',，;；:：-–—', right(z, 1)) OR (len(regexp_extract_all(z, '[A-Za-z0-9一-鿿]+')) >= 4 AND regexp_matches(right(z, 1), '[\p{{L}}\p{{N}}]'))) AS unfinished,
               abbreviated AND (continues OR regexp_matches(b, '^(?:[(\[{{]\s*)?(?:[a-z0-9]|[,;:，；：])')) AS abbreviation,
-              len(wa) BETWEEN 1 AND 2 AND len(wb) BETWEEN 1 AND 4 AND len(list_filter(list_concat(wa, wb), lambda w: NOT (regexp_matches(w, '^[A-Z][a-z]*$') OR (regexp_matches(w, '^[A-Z0-9]+$') AND regexp_matches(w, '[A-Z]')) OR regexp_matches(w, '^[A-Z][a-z0-9]*[a-z][a-z0-9]*$')))) = 0 AS title FROM s)
-        SELECT doc_id, format('p{{}}-p{{}}', page, next_page) AS boundary_id, CASE WHEN abbreviation OR (unfinished AND continues) THEN 'high' ELSE 'medium' END AS severity, right(a, 160) AS previous_tail, substring(b, 1, 160) AS next_head
-        FROM u WHERE NOT (hyphened AND NOT title) AND (abbreviation OR (unfinished AND NOT title))""",
+              len(wa) BETWEEN 1 AND 2 AND len(wb) BETWEEN 1 AND 4 AND len(list_filter(list_concat(wa, wb), lambda w: NOT (regexp_matches(w, '^[A-Z][a-z]*$') OR (regexp_matches(w, '^[A-Z0-9]+$') AND regexp_matches(w, '[A-Z]')) OR regexp_matches(w, '^[A-Z][a-z0-9]*[a-z][a-z0-9]*$')))) = 0 AS title FROM s),
+        h AS (SELECT *, hyphened AND NOT title AS hyphen, regexp_extract(a, '([A-Za-z0-9]{{2,}})[-‐-―]\s*$', 1) AS prefix, regexp_extract(b, '^([A-Za-z][A-Za-z0-9-]*)', 1) AS fragment FROM u)
+        SELECT doc_id, format('p{{}}-p{{}}', page, next_page) AS boundary_id, CASE WHEN hyphen OR abbreviation OR (unfinished AND continues) THEN 'high' ELSE 'medium' END AS severity,
+               CASE WHEN hyphen THEN 'hyphenated_word_continuation' WHEN abbreviation THEN 'academic_abbreviation_continuation' ELSE 'paragraph_continuation' END AS continuation_kind,
+               CASE WHEN NOT hyphen THEN 'space' WHEN len(regexp_extract_all(prefix, '[A-Z]')) >= 2 OR regexp_matches(prefix, '[0-9]') OR contains(fragment, '-') OR lower(prefix) IN ({", ".join(f"'{x}'" for x in T.KEEPS_HYPHEN)}) THEN 'hyphen_preserve' ELSE 'hyphen_elision' END AS joiner,
+               right(a, 160) AS previous_tail, substring(b, 1, 160) AS next_head
+        FROM h WHERE hyphen OR abbreviation OR (unfinished AND NOT title)""",
     "sections": f"""
         SELECT doc_id, section, count(*) AS n_lines FROM (
             SELECT doc_id, last_value(CASE WHEN length(line) BETWEEN 1 AND 12 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM ({_LINES}))
