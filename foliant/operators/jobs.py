@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -87,3 +87,33 @@ def audit_page(events: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 def completed_span(chunks: DataFrame, completed: DataFrame) -> DataFrame:
     """First and last ordinal of each document's completed chunks, for names of downloads."""
     return chunks.join(completed.select("doc_id", "chunk_id").distinct(), ["doc_id", "chunk_id"], "left_semi").groupBy("doc_id").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("chunks"))
+
+
+def upsert(rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """rows after changes (the same columns and ordinal) by keys: the last change of a key replaces its row or adds one."""
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), "ordinal").alias("_row")).select("_row.*")
+    return rows.join(last.select(*keys), keys, "left_anti").unionByName(last)
+
+
+def without_jobs(jobs: DataFrame, marks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """jobs and their favourites without the jobs in gone (job_id)."""
+    ids = gone.select("job_id").distinct()
+    return jobs.join(ids, "job_id", "left_anti"), marks.join(ids, "job_id", "left_anti")
+
+
+def unmark(jobs: DataFrame, marks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """jobs and favourites after favourites in gone (user_id, job_id, at) were given up: such a job of the user counts as made at that time, so that it isn't stale at once."""
+    keys = ["user_id", "job_id"]
+    last = gone.groupBy(*keys).agg(F.max("at").alias("_at"))
+    kept = jobs.join(last, keys, "left").withColumn("created_at", F.coalesce("_at", "created_at")).drop("_at")
+    return kept.select(*jobs.columns), marks.join(last, keys, "left_anti")
+
+
+def mark(marks: DataFrame, wanted: DataFrame, most: int = MOST_FAVORITES) -> DataFrame:
+    """marks with those wanted (the same columns), in order of time, as long as their user has fewer than `most`; one that is there already changes nothing."""
+    keys = ["user_id", "job_id"]
+    new = wanted.groupBy(*keys).agg(F.min("favorited_at").alias("favorited_at")).join(marks.select(*keys), keys, "left_anti")
+    held = marks.groupBy("user_id").agg(F.count("*").alias("_held"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("favorited_at", "job_id"))
+    fits = new.join(held, "user_id", "left").withColumn("_place", place).where(F.col("_place") + F.coalesce("_held", F.lit(0)) <= most)
+    return marks.select(*keys, "favorited_at").unionByName(fits.select(*keys, "favorited_at"))

@@ -14,3 +14,7 @@ CELL = "doc_id string, table_id string, row_index int, column_index int, text st
 GLOSSARY = "ordinal long, en string, zh string, first_page int, source string, status string, confidence double, section_scope string"
 RUN_EVENT = "run_id string, event_type string, phase string, chunk_id string, translator string, elapsed_ms long, source_char_count long, context_char_count long, request_char_count long, translated_char_count long, estimated_request_token_count long, estimated_translated_token_count long, reason string, error_code string, error_category string, http_retry_events array<struct<status:string,will_retry:boolean,error_code:string,error_category:string>>"
 PRICE = "key string, currency string, input_per_1m_tokens double, output_per_1m_tokens double, input_per_1m_chars double, output_per_1m_chars double, per_request double"
+JOB = "job_id string, user_id long, username string, original_filename string, created_at timestamp"
+FAVORITE = "user_id long, job_id string, favorited_at timestamp"
+AUDIT = "id long, created_at timestamp, user_id long, username string, ip string, action string, detail_json string, job_id string"
+KEY_VALUE = "key string, value string"

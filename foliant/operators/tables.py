@@ -159,3 +159,33 @@ def review_spans(spans: DataFrame, decisions: DataFrame) -> DataFrame:
     latest = decisions.groupBy(*key).agg(F.max_by("decision", "ordinal").alias("decision"))
     out = spans.join(latest, key, "left")
     return out.withColumn("publish_blocking", ~F.coalesce("decision", F.lit("pending")).isin("confirm", "reject"))
+
+
+def table_summary(tables: DataFrame, cell_rows: DataFrame, spans: DataFrame, merged: DataFrame, notes: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Counts of a document's tables as long rows (doc_id, measure, key, value); measures that come to nothing have no row. merged: as merge_chains() gives it; notes: doc_id, table_id, note_id; bindings: as bind_footnotes() gives them."""
+    on = lambda c: F.count_if(c)
+    usable = (F.col("row_count") >= 2) & (F.col("column_count") >= 2)
+    ragged_rows = F.size(F.filter("rows", lambda r: F.size(r) < F.col("column_count")))
+    has_ragged = (ragged_rows > 0) | F.array_contains(F.coalesce("warnings", F.array().cast("array<string>")), "ragged_table_rows")
+    bound = bindings.select("doc_id", "table_id", "note_id", "row_index", "column_index").distinct()
+    by_note = notes.select("doc_id", "table_id", "note_id").distinct().join(bound.groupBy("doc_id", "table_id", "note_id").agg(F.count("*").alias("n")), ["doc_id", "table_id", "note_id"], "left")
+    went_on = merged.where("merge_status = 'merged'").join(tables.select("doc_id", F.col("table_id").alias("chain"), F.col("row_count").alias("_first")), ["doc_id", "chain"], "left")
+    wide = (
+        (tables, {"tables": F.count("*"), "reconstructable_tables": on(usable), "ragged_tables": on(has_ragged), "ragged_rows": F.sum(ragged_rows), "ready_rate": on(usable) / F.count("*")}),
+        (cell_rows, {"cells": F.count("*"), "empty_cells": on("empty"), "filled_cells": on(~F.col("empty")), "numeric_cells": on(F.size("numbers") > 0), "numbers": F.sum(F.size("numbers")), "units": F.sum(F.size("units")), "significance_marks": F.sum(F.size("significance"))}),
+        (spans, {"span_candidates": F.count("*")}),
+        (merged, {"chains": F.count("*"), "chain_tables": F.sum(F.size("table_ids")), "merged_chains": on(F.col("merge_status") == "merged"), "rejected_chains": on(F.col("merge_status") == "rejected"), "chain_warnings": F.sum(F.size("warnings"))}),
+        (went_on, {"merged_rows": F.sum(F.size("rows")), "row_gain": F.sum(F.greatest(F.lit(0), F.size("rows") - F.coalesce("_first", F.lit(0))))}),
+        (by_note, {"footnotes": F.count("*"), "bound_footnotes": on(F.col("n") > 0), "bound_cells": F.sum("n"), "unbound_footnotes": on(F.col("n").isNull())}),
+    )
+    long = None
+    for df, measures in wide:
+        items = F.array(*(F.struct(F.lit(name).alias("measure"), F.col(name).cast("double").alias("value")) for name in measures))
+        part = df.groupBy("doc_id").agg(*(c.alias(name) for name, c in measures.items())).select("doc_id", F.explode(items).alias("x")).select("doc_id", "x.measure", F.lit("").alias("key"), "x.value")
+        long = part if long is None else long.unionByName(part)
+    kinds = lambda df, name, key: df.groupBy("doc_id", F.lit(name).alias("measure"), F.col(key).alias("key")).agg(F.count("*").cast("double").alias("value"))
+    reasons = merged.select("doc_id", F.explode("reject_reasons").alias("reason"))
+    warned = merged.select("doc_id", F.explode("warnings").alias("reason"))
+    for part in (kinds(spans, "span_types", "span_type"), kinds(spans, "span_reasons", "reason"), kinds(spans, "span_confidence", "confidence"), kinds(reasons, "reject_reasons", "reason"), kinds(warned, "warning_reasons", "reason")):
+        long = long.unionByName(part)
+    return long.where("value > 0")

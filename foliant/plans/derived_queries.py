@@ -203,6 +203,29 @@ def split_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.compare_strategies(reports[0].unionByName(reports[1]).unionByName(reports[2]), "pages1").select("strategy", "boundaries", "split_count", "co_located_count", "high_risk_split_count", "split_rate", "split_reduction", "is_best")
 
 
+def merged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's table that goes on in another with one row less, of the same header or of another width: what becomes of the chain."""
+    two, links = _two_tables(spark, sf_dir)
+    found = tables.merge_chains(tables.chains(two, links), two)
+    return found.select("doc_id", "merge_status", "chain_confidence", F.array_join("reject_reasons", "/").alias("reject_reasons"), F.size("rows").cast("long").alias("n_rows"), "skipped_headers")
+
+
+def _two_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    grid = _grid(spark, sf_dir).where("row_count >= 3")
+    wider = F.pmod("doc_id", F.lit(3)) == 0
+    second = grid.select("doc_id", F.lit("t2").alias("table_id"), F.when(wider, F.transform(F.slice("rows", F.lit(1), F.col("row_count") - 1), lambda r: F.concat(r, r))).otherwise(F.slice("rows", F.lit(1), F.col("row_count") - 1)).alias("rows"), F.when(wider, 8).otherwise(4).alias("column_count"), (F.col("row_count") - 1).alias("row_count"), "header", "warnings")
+    return grid.unionByName(second), grid.select("doc_id", F.lit("t1").alias("previous_id"), F.lit("t2").alias("next_id"))
+
+
+def table_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counts of two tables, their chain and a footnote, by document."""
+    two, links = _two_tables(spark, sf_dir)
+    own = tables.cells(two)
+    notes = two.select("doc_id", "table_id", F.lit("n1").alias("note_id"), F.lit("[2] measured twice").alias("text"))
+    found = tables.table_summary(two, own, tables.span_candidates(two), tables.merge_chains(tables.chains(two, links), two), notes, tables.bind_footnotes(notes, own))
+    return found.where(F.col("measure").isin("tables", "reconstructable_tables", "cells", "empty_cells", "chains", "chain_tables", "merged_chains", "rejected_chains", "merged_rows", "row_gain", "footnotes", "reject_reasons")).select("doc_id", "measure", "key", "value")
+
+
 def checked_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that keep a line's locked tokens, lose them, are empty, or have none to keep."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("f"), F.array(F.col("l_quantity").cast("int").cast("string")).alias("tokens"))
@@ -211,7 +234,7 @@ def checked_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate_repairs(rows).groupBy("f", "validation").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (number_tokens, reference_tokens, table_figure_tokens, formula_tokens, locked_tokens, entity_tokens, useful_shares, caption_lines, without_leaders, without_matter, deferred_parts, drawn_tables, held_terms, box_shares, read_values, http_codes, lost_numbers, table_cells, table_counts, table_spans, patched_cells, bound_footnotes, lost_cell_tokens, order_chains, split_boundaries, checked_repairs)}
+QUERIES = {f.__name__: f for f in (number_tokens, reference_tokens, table_figure_tokens, formula_tokens, locked_tokens, entity_tokens, useful_shares, caption_lines, without_leaders, without_matter, deferred_parts, drawn_tables, held_terms, box_shares, read_values, http_codes, lost_numbers, table_cells, table_counts, table_spans, patched_cells, bound_footnotes, lost_cell_tokens, order_chains, merged_tables, table_measures, split_boundaries, checked_repairs)}
 
 _BODY = r"""SELECT doc_id, concat(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), chr(10), 'Table ', doc_id % 12, ' and Fig. ', doc_id % 5, 'a [', doc_id % 30, ', ', doc_id % 4, '] by (Smith et al., ', doc_id % 30 + 1990, ') with p < 0.0', doc_id % 9, ' and x_{', doc_id % 3, '} gave F1-score ', doc_id % 100, '.5% in ( ', doc_id % 7, ' ) of table ', doc_id % 12, '; Turing, ', doc_id % 9 + 1950, ' at Lund University and BERT, GPT-', doc_id % 5, ', NLP-', doc_id % 3, ' on URL.') AS body FROM documents"""
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents"
@@ -307,6 +330,18 @@ SQL = {
         WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS table_id, o_orderstatus AS s, lag(o_orderstatus) OVER w AS before, lead(o_orderstatus) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
         i AS (SELECT *, sum(CASE WHEN s IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY table_id) AS island FROM o)
         SELECT doc_id, first_value(table_id) OVER w AS chain, table_id, (row_number() OVER w - 1)::INTEGER AS place FROM i WHERE s IS NOT DISTINCT FROM before OR s IS NOT DISTINCT FROM after WINDOW w AS (PARTITION BY doc_id, island ORDER BY table_id)""",
+    "merged_tables": """
+        WITH t AS (SELECT c_custkey AS doc_id, c_custkey % 5 + 1 AS n, c_custkey % 3 = 0 AS wider, c_custkey % 2 = 0 AS headed FROM customer WHERE c_custkey % 5 >= 2)
+        SELECT doc_id, CASE WHEN wider THEN 'rejected' ELSE 'merged' END AS merge_status, CASE WHEN wider THEN 'low' WHEN headed THEN 'high' ELSE 'medium' END AS chain_confidence,
+               CASE WHEN wider THEN 'column_count_drift' ELSE '' END AS reject_reasons, CASE WHEN NOT wider THEN n + n - 1 - CASE WHEN headed THEN 1 ELSE 0 END END::BIGINT AS n_rows, CASE WHEN headed THEN 1 ELSE 0 END AS skipped_headers FROM t""",
+    "table_measures": f"""
+        WITH t AS (SELECT c_custkey AS doc_id, c_custkey % 5 + 1 AS n, c_custkey % 3 = 0 AS wider, c_custkey % 2 = 0 AS headed FROM customer WHERE c_custkey % 5 >= 2),
+        e AS (SELECT t.doc_id, sum(CASE WHEN text = '' THEN 1 + CASE WHEN r < n - 1 THEN CASE WHEN wider THEN 2 ELSE 1 END ELSE 0 END ELSE 0 END) AS empty_cells FROM ({_CELLS}) c JOIN t ON t.doc_id = c.doc_id GROUP BY t.doc_id),
+        m AS (SELECT t.*, empty_cells, n + n - 1 - CASE WHEN headed THEN 1 ELSE 0 END AS merged_rows FROM t JOIN e USING (doc_id)),
+        l AS (SELECT doc_id, unnest([{{'m': 'tables', 'k': '', 'v': 2}}, {{'m': 'reconstructable_tables', 'k': '', 'v': 2}}, {{'m': 'cells', 'k': '', 'v': 4 * n + CASE WHEN wider THEN 8 ELSE 4 END * (n - 1)}}, {{'m': 'empty_cells', 'k': '', 'v': empty_cells}}, {{'m': 'chains', 'k': '', 'v': 1}}, {{'m': 'chain_tables', 'k': '', 'v': 2}},
+              {{'m': 'merged_chains', 'k': '', 'v': CASE WHEN wider THEN 0 ELSE 1 END}}, {{'m': 'rejected_chains', 'k': '', 'v': CASE WHEN wider THEN 1 ELSE 0 END}}, {{'m': 'merged_rows', 'k': '', 'v': CASE WHEN wider THEN 0 ELSE merged_rows END}}, {{'m': 'row_gain', 'k': '', 'v': CASE WHEN wider THEN 0 ELSE merged_rows - n END}},
+              {{'m': 'footnotes', 'k': '', 'v': 2}}, {{'m': 'reject_reasons', 'k': 'column_count_drift', 'v': CASE WHEN wider THEN 1 ELSE 0 END}}]) AS x FROM m)
+        SELECT doc_id, x.m AS measure, x.k AS key, x.v::DOUBLE AS value FROM l WHERE x.v > 0""",
     "split_boundaries": f"""
         WITH p AS (SELECT DISTINCT doc_id, ord // 4 AS k FROM ({_LINES})), e AS (SELECT a.doc_id, a.k FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
         r AS (SELECT n, count(*) AS boundaries, count(*) FILTER ((k + 1) % n = 0) AS split_count, count(*) FILTER ((k + 1) % n > 0) AS co_located_count, count(*) FILTER ((k + 1) % n = 0 AND k % 3 = 0) AS high_risk_split_count FROM e, (SELECT unnest([1, 2, 3]) AS n) GROUP BY n)

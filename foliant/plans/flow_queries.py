@@ -129,7 +129,25 @@ def planned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.plan_runs(_table(spark, sf_dir, "region").select("r_regionkey"), _table(spark, sf_dir, "nation").select("n_nationkey"))
 
 
-QUERIES = {f.__name__: f for f in (merged_repairs, reviewed_patches, repair_orders, verdict_of_repairs, lost_relations, lost_terms, decided_terms, stale_by_terms, glossary_counts, job_states, requeued_jobs, finished_spans, tagged_samples, joined_reviews, joined_reports, planned_runs)}
+def changed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as stored values, events as changes to them in order."""
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("value"))
+    changes = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("value"), F.col("event_id").alias("ordinal"))
+    return jobs.upsert(rows, changes, ["key"])
+
+
+def marked_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Favourites of urgent orders after more were wanted, some given up and some jobs deleted, by user."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created_at"), "o_orderpriority")
+    mark = orders.select("user_id", "job_id", F.col("created_at").alias("favorited_at"), "o_orderpriority")
+    marks = jobs.mark(mark.where("o_orderpriority = '1-URGENT'").drop("o_orderpriority"), mark.where("o_orderpriority <= '2-HIGH'").drop("o_orderpriority"))
+    kept, marks = jobs.unmark(orders.drop("o_orderpriority"), marks, orders.where("job_id % 3 = 0").select("user_id", "job_id", F.lit("2101-01-01").cast("timestamp").alias("at")))
+    kept, marks = jobs.without_jobs(kept, marks, orders.where("job_id % 5 = 0"))
+    recent = kept.where("created_at >= '2101-01-01'").groupBy("user_id").agg(F.count("*").alias("given_up"))
+    return kept.groupBy("user_id").agg(F.count("*").alias("jobs")).join(marks.groupBy("user_id").agg(F.count("*").alias("favorites")), "user_id", "left").join(recent, "user_id", "left").fillna(0, ["favorites", "given_up"])
+
+
+QUERIES = {f.__name__: f for f in (merged_repairs, reviewed_patches, repair_orders, verdict_of_repairs, lost_relations, lost_terms, decided_terms, stale_by_terms, glossary_counts, job_states, requeued_jobs, finished_spans, tagged_samples, joined_reviews, joined_reports, planned_runs, changed_values, marked_jobs)}
 
 _RESULTS = "SELECT l_orderkey AS doc_id, l_suppkey % 3 AS chunk, l_linenumber AS k, l_returnflag AS f, l_quantity AS q FROM lineitem"
 _MERGED = f"SELECT *, f = 'N' AND row_number() OVER (PARTITION BY doc_id, chunk ORDER BY CASE f WHEN 'N' THEN 0 ELSE 1 END, k) = 1 AS merged FROM ({_RESULTS})"
@@ -189,4 +207,12 @@ SQL = {
         j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(n, 0) AS orders_n, coalesce(done, 0) AS orders_done, coalesce(nation, 0) AS people_nation FROM a FULL JOIN b ON a.doc_id = b.doc_id)
         SELECT *, CASE WHEN orders_n = 0 THEN 0.0 ELSE orders_done::DOUBLE / orders_n END AS done_rate, CASE WHEN people_nation = 0 THEN 0.0 ELSE orders_n::DOUBLE / people_nation END AS per_nation FROM j""",
     "planned_runs": "SELECT r_regionkey, n_nationkey FROM region, nation",
+    "changed_values": """
+        WITH l AS (SELECT user_id::VARCHAR AS key, event_type || '-' || event_id AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+        SELECT s_suppkey::VARCHAR AS key, s_name AS value FROM supplier WHERE s_suppkey::VARCHAR NOT IN (SELECT key FROM l) UNION ALL SELECT * FROM l""",
+    "marked_jobs": """
+        WITH o AS (SELECT o_orderkey AS k, o_custkey AS u, o_orderdate AS made, o_orderpriority AS p FROM orders), h AS (SELECT u, count(*) AS held FROM o WHERE p = '1-URGENT' GROUP BY u),
+        n AS (SELECT o.u, k, row_number() OVER (PARTITION BY o.u ORDER BY made, k) + coalesce(held, 0) AS place FROM o LEFT JOIN h ON h.u = o.u WHERE p = '2-HIGH'),
+        m AS (SELECT u, k FROM o WHERE p = '1-URGENT' UNION ALL SELECT u, k FROM n WHERE place <= 3)
+        SELECT o.u AS user_id, count(*) AS jobs, count(m.k) FILTER (o.k % 3 <> 0) AS favorites, count(*) FILTER (o.k % 3 = 0) AS given_up FROM o LEFT JOIN m ON m.k = o.k WHERE o.k % 5 <> 0 GROUP BY o.u""",
 }
