@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import documents, fresh_path, small_batches
+from foliant.llm.common import documents, fresh_path, parts_of, small_batches
 from foliant.llm.tokens import END_ID, default_tokenizer, documents_ids, encoder
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u4"), ("flags", "<u4")])
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
+#: Bytes of the table of documents, as Spark knows it, for each file: a larger table gets more files than there are shuffle partitions.
+FILE_BYTES = 256 << 20
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -105,7 +107,11 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
 
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
-    made = placed.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).mapInArrow(write, MANIFEST)
+    order = (F.col("doc_id").asc_nulls_first(), tie)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // FILE_BYTES)  # beyond any real count where Spark does not know the size
+    ranged = placed.repartitionByRange(wanted, *order) if parts_of(spark) < wanted < 1 << 20 else placed.repartitionByRange(*order)
+    made = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).mapInArrow(write, MANIFEST)
     files = sorted(made.collect(), key=lambda r: r["shard"])  # a row for each file
     before = np.concatenate([[0], np.cumsum([r["n_tokens"] for r in files])]).astype(int)
     rows = [(*r, int(b)) for r, b in zip(files, before[:-1], strict=True)]

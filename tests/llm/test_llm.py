@@ -128,6 +128,15 @@ def test_records_round_trip(spark, docs, none):
     assert records.read_records(records.write_records(none, common.fresh_path(spark, "test"))).count() == 0
 
 
+def test_records_of_a_large_table_have_more_files(spark, docs, monkeypatch):
+    table = common.written(docs.select("doc_id", "text"), "test")
+    monkeypatch.setattr(records, "FILE_BYTES", 4 << 10)
+    manifest = records.write_records(table, common.fresh_path(spark, "test"))
+    assert manifest.count() > common.parts_of(spark)
+    got = records.read_records(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((d for d, _ in pairs()), key=lambda d: (d is not None, d))
+
+
 def test_records_notice_damage():
     good = records.frame(b"abcdef")
     assert bytes(records.unframe(memoryview(good), 0)[0]) == b"abcdef"
