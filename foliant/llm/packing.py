@@ -214,7 +214,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Packs whole documents (doc_id, text): a row for each piece with its sequence and its place there. Null texts count as empty, repeated rows are packed each, an empty table gives no rows, other columns are ignored."""
+    """Packs whole documents (doc_id, text): a row for each piece with its sequence and its place there. Null texts count as empty, repeated rows are packed each, an empty table gives no rows, other columns are ignored. doc_id is a whole number."""
     return place(written(pieces_of(docs, tokenizer, capacity, end_id, with_ids), "pieces"), capacity)
 
 

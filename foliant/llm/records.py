@@ -66,7 +66,7 @@ def _store(uri: str):
 def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes documents (doc_id, text) in ascending doc_id order, nulls first and ties by a hash of the text, and returns the manifest, with the ids before each file.
 
-    A task writes to a name of its own and renames it when whole, so a task that is run again does no harm. A null text has the end id alone; an empty table gives an empty manifest. Other columns are ignored."""
+    A task writes to a name of its own and renames it when whole, so a task that is run again does no harm. A null text has the end id alone; an empty table gives an empty manifest. Other columns are ignored. doc_id is a whole number."""
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
 

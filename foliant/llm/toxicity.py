@@ -239,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, score, predicted, evidence (doc_ids of the nearest examples) and cosines.
 
-    Null and empty texts, and texts that share no word with an example, have the score of examples without a word, or that of all where there are none. Repeated rows are scored each; an empty table gives no rows; without labels every score is 0; other columns are ignored."""
+    Null and empty texts, and texts that share no word with an example, have the score of examples without a word, or that of all where there are none. Repeated rows are scored each; an empty table gives no rows; without labels every score is 0; other columns are ignored. doc_id is a whole number in both tables."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))  # bounded by SAMPLE
 
     def run(batches):
