@@ -147,6 +147,23 @@ def validate_repairs(results: DataFrame) -> DataFrame:
     return out.withColumn("validation", F.when(F.trim(F.coalesce("candidate", F.lit(""))) == "", "failed").when((F.size("missing") > 0) | wrong_shape, "failed").when(nothing, "unchecked").otherwise("passed"))
 
 
+def repair_ladder(requests: DataFrame, results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """requests with how far each came: its validation, and whether its text goes into the chunk. requests: doc_id, request_id, chunk_id, locked_tokens, shapes, mergeable; results: doc_id, request_id, ordinal, status, candidate, of which a request's last counts; chunks: doc_id, chunk_id.
+
+    A chunk takes one text: the first, by request_id, that passed, has a chunk and can be merged. After it the others of the chunk are in conflict, before it those that can't be merged wait for a person."""
+    last = results.groupBy("doc_id", "request_id").agg(F.max_by(F.struct("status", "candidate"), "ordinal").alias("_r"))
+    known = chunks.select("doc_id", "chunk_id").distinct().withColumn("_known", F.lit(True))
+    j = requests.join(last, ["doc_id", "request_id"], "left").join(known, ["doc_id", "chunk_id"], "left").withColumn("candidate", F.col("_r.candidate"))
+    made = F.when(F.col("_r").isNull(), "skipped_missing_result").when(~F.col("_r.status").eqNullSafe(F.lit("succeeded")), "skipped_not_succeeded")
+    j = validate_repairs(j).withColumn("validation", F.coalesce(made, "validation"))
+    open_ = (F.col("validation") == "passed") & F.col("_known").isNotNull()
+    before = Window.partitionBy("doc_id", "chunk_id").orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.bool_or(open_ & F.col("mergeable")).over(before), F.lit(False))
+    # fixed values: the steps' names
+    merge = F.when(F.col("validation") != "passed", "skipped_validation_not_passed").when(F.col("_known").isNull(), "skipped_missing_chunk").when(taken, "skipped_chunk_conflict").when(~F.col("mergeable"), "skipped_manual_merge_required").otherwise("applied")
+    return j.withColumn("merge", merge).drop("_r", "_known")
+
+
 def merge_repairs(validated: DataFrame) -> DataFrame:
     """Which results go into their chunk: the first that passed, by request; the others' reasons to be left out."""
     w = Window.partitionBy("doc_id", "chunk_id").orderBy(F.col("_open"), "request_id")

@@ -31,6 +31,17 @@ def reviewed_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.publish_gate(quality.review_patches(merged, first.unionByName(second)))
 
 
+def repaired_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as requests for the texts of their sizes, with results of which the later counts, and chunks of the sizes up to 40."""
+    part, m = _table(spark, sf_dir, "part"), lambda k: F.pmod("p_partkey", F.lit(k))
+    shapes = F.array().cast("array<struct<row_count:int,column_count:int>>")
+    requests = part.select(F.col("p_brand").alias("doc_id"), F.format_string("rq%08d", "p_partkey").alias("request_id"), F.col("p_size").cast("string").alias("chunk_id"), F.when(m(5) == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("p_size").cast("string"))).alias("locked_tokens"), shapes.alias("shapes"), (m(3) > 0).alias("mergeable"))
+    one = lambda keep, ordinal, status, text: part.where(keep).select(F.col("p_brand").alias("doc_id"), F.format_string("rq%08d", "p_partkey").alias("request_id"), F.lit(ordinal).alias("ordinal"), F.lit(status).alias("status"), text.alias("candidate"))
+    results = one(m(7) > 0, 1, "failed", F.lit(None).cast("string")).unionByName(one(m(11) > 2, 2, "succeeded", F.when(m(13) == 0, "none").otherwise(F.concat(F.lit("has "), F.col("p_size").cast("string")))))
+    found = quality.repair_ladder(requests, results, part.where("p_size <= 40").select(F.col("p_brand").alias("doc_id"), F.col("p_size").cast("string").alias("chunk_id")))
+    return found.select("request_id", "validation", "merge")
+
+
 def repair_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for the repairs of labelled documents' issues."""
     rows = _table(spark, sf_dir, "labels")
@@ -147,7 +158,7 @@ def marked_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("user_id").agg(F.count("*").alias("jobs")).join(marks.groupBy("user_id").agg(F.count("*").alias("favorites")), "user_id", "left").join(recent, "user_id", "left").fillna(0, ["favorites", "given_up"])
 
 
-QUERIES = {f.__name__: f for f in (merged_repairs, reviewed_patches, repair_orders, verdict_of_repairs, lost_relations, lost_terms, decided_terms, stale_by_terms, glossary_counts, job_states, requeued_jobs, finished_spans, tagged_samples, joined_reviews, joined_reports, planned_runs, changed_values, marked_jobs)}
+QUERIES = {f.__name__: f for f in (merged_repairs, repaired_chunks, reviewed_patches, repair_orders, verdict_of_repairs, lost_relations, lost_terms, decided_terms, stale_by_terms, glossary_counts, job_states, requeued_jobs, finished_spans, tagged_samples, joined_reviews, joined_reports, planned_runs, changed_values, marked_jobs)}
 
 _RESULTS = "SELECT l_orderkey AS doc_id, l_suppkey % 3 AS chunk, l_linenumber AS k, l_returnflag AS f, l_quantity AS q FROM lineitem"
 _MERGED = f"SELECT *, f = 'N' AND row_number() OVER (PARTITION BY doc_id, chunk ORDER BY CASE f WHEN 'N' THEN 0 ELSE 1 END, k) = 1 AS merged FROM ({_RESULTS})"
@@ -155,6 +166,11 @@ _MERGED = f"SELECT *, f = 'N' AND row_number() OVER (PARTITION BY doc_id, chunk
 SQL = {
     "merged_repairs": f"""
         SELECT doc_id, format('rq{{:04d}}', k) AS request_id, merged, CASE WHEN merged THEN NULL WHEN f = 'A' THEN 'validation_failed' WHEN f = 'R' THEN 'validation_unchecked' ELSE 'chunk_already_patched' END AS skip_reason FROM ({_MERGED})""",
+    "repaired_chunks": """
+        WITH r AS (SELECT p_partkey AS k, p_brand AS d, p_size AS c, p_partkey % 3 > 0 AS mergeable,
+              CASE WHEN p_partkey % 11 > 2 THEN CASE WHEN p_partkey % 5 = 0 THEN 'unchecked' WHEN p_partkey % 13 = 0 THEN 'failed' ELSE 'passed' END WHEN p_partkey % 7 > 0 THEN 'skipped_not_succeeded' ELSE 'skipped_missing_result' END AS validation FROM part),
+        o AS (SELECT *, coalesce(sum(CASE WHEN validation = 'passed' AND c <= 40 AND mergeable THEN 1 ELSE 0 END) OVER (PARTITION BY d, c ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS taken FROM r)
+        SELECT format('rq{:08d}', k) AS request_id, validation, CASE WHEN validation <> 'passed' THEN 'skipped_validation_not_passed' WHEN c > 40 THEN 'skipped_missing_chunk' WHEN taken THEN 'skipped_chunk_conflict' WHEN NOT mergeable THEN 'skipped_manual_merge_required' ELSE 'applied' END AS merge FROM o""",
     "reviewed_patches": f"""
         SELECT doc_id, patches, blocking, CASE WHEN blocking > 0 THEN 'blocked' ELSE 'ready' END AS status FROM (
             SELECT doc_id, count(*) AS patches, count(*) FILTER (NOT (most > 20 OR merged)) AS blocking FROM (SELECT *, max(q) OVER (PARTITION BY doc_id, k) AS most FROM ({_MERGED})) GROUP BY doc_id)""",
