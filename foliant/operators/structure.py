@@ -102,8 +102,8 @@ def section_headings(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section", F.last(F.when(F.col("type") == "heading", F.col("text")), ignorenulls=True).over(order))
 
 
-def page_boundaries(blocks: DataFrame) -> DataFrame:
-    """A row for each pair of adjoining pages whose last and first content blocks seem to belong together: severity, kind, stitch action, joiner and all reasons."""
+def page_boundaries(blocks: DataFrame, word_end: str = T.WORD_END) -> DataFrame:
+    """A row for each pair of adjoining pages whose last and first content blocks seem to belong together: severity, kind, stitch action, joiner and all reasons. word_end: as in starts_continuing()."""
     content = blocks.where(F.col("type").isin(*TRANSLATABLE) & (F.trim("text") != ""))
     block = F.struct("ord", "block_id", "type", "text")
     pages = blocks.select("doc_id", "page_no").distinct().join(content.groupBy("doc_id", "page_no").agg(F.min(block).alias("first"), F.max(block).alias("last")), ["doc_id", "page_no"], "left")
@@ -111,10 +111,10 @@ def page_boundaries(blocks: DataFrame) -> DataFrame:
     pairs = pages.withColumns({"next_page": F.lead("page_no").over(follow), "b": F.lead("first").over(follow)}).withColumnRenamed("last", "a").where("a IS NOT NULL AND b IS NOT NULL")
     a, b = F.col("a.text"), F.col("b.text")
     same = F.col("a.type") == F.col("b.type")
-    pairs = pairs.withColumns({"unfinished": T.ends_open(a), "continues": T.starts_continuing(b), "joiner_": T.hyphen_joiner(a, b), "same_kind": same & F.col("a.type").isin(*CONTINUABLE), "tables": same & (F.col("a.type") == "table"), "formulas": same & (F.col("a.type") == "formula"), "op_end": T.matches(T.compact(a), T.OPERATOR_END), "op_start": T.matches(T.compact(b), T.OPERATOR_START) | T.starts_continuing(b), "title": same & (F.col("a.type") == "paragraph") & T.is_title_break(a, b)})
+    pairs = pairs.withColumns({"unfinished": T.ends_open(a), "continues": T.starts_continuing(b, word_end), "joiner_": T.hyphen_joiner(a, b), "same_kind": same & F.col("a.type").isin(*CONTINUABLE), "tables": same & (F.col("a.type") == "table"), "formulas": same & (F.col("a.type") == "formula"), "op_end": T.matches(T.compact(a), T.OPERATOR_END), "op_start": T.matches(T.compact(b), T.OPERATOR_START) | T.starts_continuing(b, word_end), "title": same & (F.col("a.type") == "paragraph") & T.is_title_break(a, b)})
     pairs = pairs.withColumns({
         "hyphen": F.col("same_kind") & F.col("joiner_").isNotNull(),
-        "abbreviation": same & F.col("a.type").isin(*CONTINUABLE, "reference") & T.matches(T.compact(a), T.ABBREVIATION_END) & T.starts_after_abbreviation(b),
+        "abbreviation": same & F.col("a.type").isin(*CONTINUABLE, "reference") & T.matches(T.compact(a), T.ABBREVIATION_END) & T.starts_after_abbreviation(b, word_end),
         "formula": F.col("formulas") & (F.col("op_end") | F.col("op_start") | F.col("unfinished")),
     })
     strong = F.col("tables") | F.col("hyphen") | F.col("abbreviation") | F.col("formula")

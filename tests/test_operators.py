@@ -58,6 +58,12 @@ def test_text_functions(spark, function, text, expected):
     assert one(spark, function("t"), text) == expected
 
 
+@pytest.mark.parametrize("text,by_letters,by_ascii", [("IN DAS", True, True), ("INÄTZ", False, True), ("Toé", False, True), ("FORT", False, False), ("OF_X", False, False), ("BY9", False, False), ("To\u0301", True, True), ("IN", True, True)])
+def test_word_ends(spark, text, by_letters, by_ascii):
+    assert one(spark, T.starts_continuing("t"), text) == by_letters
+    assert one(spark, T.starts_continuing("t", T.ASCII_WORD_END), text) == by_ascii
+
+
 def test_token_estimate(spark):
     assert [r.x for r in spark.createDataFrame([(0,), (1,), (4,), (5,), (80,), (None,), (-3,)], "n long").select(T.token_estimate("n").alias("x")).collect()] == [0, 1, 1, 2, 20, 0, 0]
 
@@ -188,6 +194,13 @@ def test_boundaries(spark):
     assert preview["p9-p10"] == "transformer nets."
 
 
+def test_boundaries_of_accented_words(spark):
+    b = blocks(spark, (1, 0, "paragraph", "as shown by Smith et al."), (2, 0, "paragraph", "INÄTZ UND"), (3, 0, "paragraph", "Toé with three more"), (4, 0, "paragraph", "ASÓ MI"))
+    got = lambda *end: {r.boundary_id: (r.severity, r.continuation_kind) for r in structure.page_boundaries(b, *end).collect()}
+    assert got() == {"p3-p4": ("medium", "paragraph_continuation")}
+    assert got(T.ASCII_WORD_END) == {"p1-p2": ("high", "academic_abbreviation_continuation"), "p3-p4": ("high", "paragraph_continuation")}
+
+
 def test_reference_split(spark):
     p = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("a", 2, "References\n[1]"), ("b", 0, "References"), ("b", 1, "x"), ("b", 2, "x")], "doc_id string, page_no int, text string")
     assert rows(structure.reference_split(p), "doc_id", "reference_start", "main_pages", "tail_pages") == [("a", 2, [0, 1], [2]), ("b", None, [0, 1, 2], [])]

@@ -38,3 +38,19 @@ def test_query(spark, db, name):
     assert sorted(columns) == sorted(got.columns)
     a, b = plain([tuple(r) for r in got.collect()], got.columns, columns), plain(want.fetchall(), columns, columns)
     assert len(a) == len(b) and a == b
+
+
+def test_boundaries_of_accented_words(spark, tmp_path):
+    """Pages that start with a joining word and then an accented letter: the SQL's words end by ASCII."""
+    starts = ("INÄTZ WORT", "ASÓ WORT", "Toé wort", "In DAS", "FORT WORT", "OF_X WORT", "BY9 WORT", "ÄIN WORT")
+    pages = [f"{start} {'WORT ' * 60}"[:300] for start in starts]
+    docs = [(i, "".join([pages[-1], *pages[i:], *pages[:i]])) for i in range(len(pages))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = registry.QUERIES["page_boundaries"](spark, str(tmp_path)), con.execute(registry.SQL["page_boundaries"])
+    columns = [c[0] for c in want.description]
+    rows = want.fetchall()
+    assert plain([tuple(r) for r in got.collect()], got.columns, columns) == plain(rows, columns, columns)
+    high = {r[columns.index("next_head")][:5] for r in rows if r[columns.index("severity")] == "high" and r[columns.index("joiner")] == "space"}
+    assert {"INÄTZ", "ASÓ W", "Toé w", "In DA"} == high
