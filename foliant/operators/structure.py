@@ -107,14 +107,16 @@ def page_boundaries(blocks: DataFrame, word_end: str = T.WORD_END) -> DataFrame:
     content = blocks.where(F.col("type").isin(*TRANSLATABLE) & (F.trim("text") != ""))
     block = F.struct("ord", "block_id", "type", "text")
     pages = blocks.select("doc_id", "page_no").distinct().join(content.groupBy("doc_id", "page_no").agg(F.min(block).alias("first"), F.max(block).alias("last")), ["doc_id", "page_no"], "left")
+    # Compact texts are columns below the window, so that no predicate makes them again.
+    pages = pages.select("doc_id", "page_no", *(F.when(F.col(x).isNotNull(), F.struct(f"{x}.block_id", f"{x}.type", T.compact(f"{x}.text").alias("text"))).alias(x) for x in ("first", "last")))
     follow = Window.partitionBy("doc_id").orderBy("page_no")
     pairs = pages.withColumns({"next_page": F.lead("page_no").over(follow), "b": F.lead("first").over(follow)}).withColumnRenamed("last", "a").where("a IS NOT NULL AND b IS NOT NULL")
     a, b = F.col("a.text"), F.col("b.text")
     same = F.col("a.type") == F.col("b.type")
-    pairs = pairs.withColumns({"unfinished": T.ends_open(a), "continues": T.starts_continuing(b, word_end), "joiner_": T.hyphen_joiner(a, b), "same_kind": same & F.col("a.type").isin(*CONTINUABLE), "tables": same & (F.col("a.type") == "table"), "formulas": same & (F.col("a.type") == "formula"), "op_end": T.matches(T.compact(a), T.OPERATOR_END), "op_start": T.matches(T.compact(b), T.OPERATOR_START) | T.starts_continuing(b, word_end), "title": same & (F.col("a.type") == "paragraph") & T.is_title_break(a, b)})
+    pairs = pairs.withColumns({"unfinished": T.ends_open(a, done=True), "continues": T.starts_continuing(b, word_end, done=True), "joiner_": T.hyphen_joiner(a, b, done=True), "same_kind": same & F.col("a.type").isin(*CONTINUABLE), "tables": same & (F.col("a.type") == "table"), "formulas": same & (F.col("a.type") == "formula"), "op_end": T.matches(a, T.OPERATOR_END), "op_start": T.matches(b, T.OPERATOR_START) | T.starts_continuing(b, word_end, done=True), "title": same & (F.col("a.type") == "paragraph") & T.is_title_break(a, b, done=True)})
     pairs = pairs.withColumns({
         "hyphen": F.col("same_kind") & F.col("joiner_").isNotNull(),
-        "abbreviation": same & F.col("a.type").isin(*CONTINUABLE, "reference") & T.matches(T.compact(a), T.ABBREVIATION_END) & T.starts_after_abbreviation(b, word_end),
+        "abbreviation": same & F.col("a.type").isin(*CONTINUABLE, "reference") & a.endswith(".") & T.matches(a, T.ABBREVIATION_END) & T.starts_after_abbreviation(b, word_end, done=True),
         "formula": F.col("formulas") & (F.col("op_end") | F.col("op_start") | F.col("unfinished")),
     })
     strong = F.col("tables") | F.col("hyphen") | F.col("abbreviation") | F.col("formula")
@@ -138,7 +140,7 @@ def page_boundaries(blocks: DataFrame, word_end: str = T.WORD_END) -> DataFrame:
     joiner = F.when(F.col("tables"), "preserve_table_rows").when(F.col("hyphen"), F.col("joiner_")).when(F.col("formula") & ~F.col("abbreviation"), "newline").otherwise("space")
     action = F.when(F.col("tables"), "preserve_table_segments_together").when(F.col("hyphen") & (F.col("joiner_") == "hyphen_preserve"), "preserve_hyphenated_compound_across_page_boundary").when(F.col("hyphen"), "join_hyphenated_word_across_page_boundary").when(F.col("abbreviation"), "preserve_academic_abbreviation_context_across_page").when(F.col("formula"), "preserve_formula_derivation_across_page_boundary").otherwise("translate_as_continuous_cross_page_text")
     pairs = pairs.where(strong | general).withColumn("joiner", joiner)
-    left = F.when(F.col("joiner") == "hyphen_elision", F.regexp_replace(T.compact(a), r"[-‐-―]\s*$", "")).otherwise(T.compact(a))
+    left = F.when(F.col("joiner") == "hyphen_elision", F.regexp_replace(a, r"[-‐-―]\s*$", "")).otherwise(a)
     glue = F.when(F.col("joiner").isin("hyphen_elision", "hyphen_preserve"), "").when(F.col("joiner") == "newline", "\n").otherwise(" ")
     return pairs.select(
         "doc_id",
@@ -152,9 +154,9 @@ def page_boundaries(blocks: DataFrame, word_end: str = T.WORD_END) -> DataFrame:
         reasons.alias("reasons"),
         F.col("a.block_id").alias("previous_block_id"),
         F.col("b.block_id").alias("next_block_id"),
-        F.right(T.compact(a), F.lit(160)).alias("previous_tail"),
-        F.substring(T.compact(b), 1, 160).alias("next_head"),
-        F.substring(F.concat(left, glue, T.compact(b)), 1, 260).alias("merged_preview"),
+        F.right(a, F.lit(160)).alias("previous_tail"),
+        F.substring(b, 1, 160).alias("next_head"),
+        F.substring(F.concat(left, glue, b), 1, 260).alias("merged_preview"),
     )
 
 

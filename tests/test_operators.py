@@ -1,5 +1,8 @@
 """Operators on hand-built rows with expected results."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +204,37 @@ def test_boundaries_of_accented_words(spark):
     assert got(T.ASCII_WORD_END) == {"p1-p2": ("high", "academic_abbreviation_continuation"), "p3-p4": ("high", "paragraph_continuation")}
 
 
+def test_boundary_predicates_against_loops(spark):
+    """Random pairs of compact texts: each predicate, with and without compacting, against plain Python."""
+    pick = random.Random(5)
+    parts = ("Word", "word", "WORD", "a", "B2", "é", "Éa", "中文", "-", "–", "—", " ", " ", ".", ")", "!", ",", "et al.", "7", "_", "\u0301", "\u00b2", "𝒜")
+    pairs = [(i, *(" ".join("".join(pick.choice(parts) for _ in range(pick.randint(0, 9))).split()) for _ in "ab")) for i in range(1500)]
+    words = lambda t: re.findall("[A-Za-z0-9]+", t)
+    titled = lambda w: (w.isupper() and True) or (w[0].isupper() and w[1:].islower()) or w in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def open_(t):
+        t = t.rstrip("\"'”’）)]}」』")
+        return bool(t) and t[-1] not in ".!?。！？" and (t[-1] in ",，;；:：-–—" or (len(re.findall("[A-Za-z0-9一-鿿]+", t)) >= 4 and t[-1].isalnum()))
+
+    def title(a, b):
+        a, b = words(re.sub("[-‐-―]$", "", a)), words(b)
+        return 1 <= len(a) <= 2 and 1 <= len(b) <= 4 and all(map(titled, a + b))
+
+    def joiner(a, b):
+        prefix, fragment = re.search("([A-Za-z0-9]{2,})[-‐-―]$", a), re.match("[A-Za-z][A-Za-z0-9-]*", b)
+        if not prefix or not fragment or title(a, b):
+            return None
+        prefix = prefix[1]
+        return "hyphen_preserve" if len(re.findall("[A-Z]", prefix)) >= 2 or re.search("[0-9]", prefix) or "-" in fragment[0] or prefix.lower() in T.KEEPS_HYPHEN else "hyphen_elision"
+
+    want = [(i, open_(a), title(a, b), joiner(a, b)) for i, a, b in pairs]
+    assert all(len({w[k] for w in want}) > 1 for k in (1, 2, 3))
+    df = spark.createDataFrame(pairs, "i int, a string, b string")
+    for done in (False, True):
+        got = df.select("i", T.ends_open("a", done=done).alias("o"), T.is_title_break("a", "b", done=done).alias("t"), T.hyphen_joiner("a", "b", done=done).alias("j")).orderBy("i").collect()
+        assert [g for g in map(tuple, got) if g != want[g[0]]] == []
+
+
 def test_reference_split(spark):
     p = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("a", 2, "References\n[1]"), ("b", 0, "References"), ("b", 1, "x"), ("b", 2, "x")], "doc_id string, page_no int, text string")
     assert rows(structure.reference_split(p), "doc_id", "reference_start", "main_pages", "tail_pages") == [("a", 2, [0, 1], [2]), ("b", None, [0, 1, 2], [])]
