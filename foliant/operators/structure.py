@@ -104,9 +104,8 @@ def section_headings(blocks: DataFrame) -> DataFrame:
 
 def page_boundaries(blocks: DataFrame, word_end: str = T.WORD_END) -> DataFrame:
     """A row for each pair of adjoining pages whose last and first content blocks seem to belong together: severity, kind, stitch action, joiner and all reasons. word_end: as in starts_continuing()."""
-    content = blocks.where(F.col("type").isin(*TRANSLATABLE) & (F.trim("text") != ""))
-    block = F.struct("ord", "block_id", "type", "text")
-    pages = blocks.select("doc_id", "page_no").distinct().join(content.groupBy("doc_id", "page_no").agg(F.min(block).alias("first"), F.max(block).alias("last")), ["doc_id", "page_no"], "left")
+    block = F.when(F.col("type").isin(*TRANSLATABLE) & (F.trim("text") != "") & F.col("page_no").isNotNull(), F.struct("ord", "block_id", "type", "text"))
+    pages = blocks.groupBy("doc_id", "page_no").agg(F.min(block).alias("first"), F.max(block).alias("last"))
     # Compact texts are columns below the window, so that no predicate makes them again.
     pages = pages.select("doc_id", "page_no", *(F.when(F.col(x).isNotNull(), F.struct(f"{x}.block_id", f"{x}.type", T.compact(f"{x}.text").alias("text"))).alias(x) for x in ("first", "last")))
     follow = Window.partitionBy("doc_id").orderBy("page_no")
