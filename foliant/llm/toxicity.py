@@ -2,7 +2,7 @@
 
 Examples are at most SAMPLE labelled rows in expectation, half of them toxic where there are so many, drawn by a hash of doc_id. A vector holds all lower-cased words of a text, by (1 + ln tf) * ln(N / df) * (1 + z), at length one. Document frequencies come from all documents. z is how far a word goes with toxic examples, by standard deviations: the signed root of chi-squared of the word's presence and the label over the examples, 0 where it is negative. No word is left out: words that no example has count for a text's length; their document frequencies are counted in OTHERS slots by hash, and words that share a slot count as one.
 
-The index holds, for each term, postings by blocks of BLOCK examples, and each block's largest weight. A query bounds a block's scores by its terms' largest weights, visits blocks from the highest bound down, some at a time, and stops where the bound falls below its k-th best score: the K nearest are exact, ties going to the smaller doc_id. Votes are weighted by 1 / (FAR + 1 - cosine). Votes that each example gets from the others, weighted by its label's share of all labelled rows, are made into calibrated scores by isotonic regression. A text that shares no word with any example gets the share of toxic rows among such examples, or among all where there are none.
+The index holds the HEADS most frequent terms, which most postings belong to, as rows over all examples: texts are multiplied with them many at a time. For each other term it holds postings by blocks of BLOCK examples, and each block's largest weight. A query bounds a block's scores by the best of its sums over those rows and its other terms' largest weights, visits blocks from the highest bound down, some at a time, and stops where the bound falls below its k-th best score, at first that of the rows' sums. What comes near is added again in 64 bits: the K nearest are exact, ties going to the smaller doc_id. Votes are weighted by 1 / (FAR + 1 - cosine). Votes that each example gets from the others, weighted by its label's share of all labelled rows, are made into calibrated scores by isotonic regression. A text that shares no word with any example gets the share of toxic rows among such examples, or among all where there are none.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from foliant.llm.common import documents, id_type, lowered_words, small, small_b
 #: Labelled rows that are examples, in expectation.
 SAMPLE = 4000
 K, FAR, BLOCK = 15, 0.05, 128
+#: Terms that the index holds as rows over all examples, texts that are multiplied with those at a time, and more than two such sums of 32-bit floats can be off.
+HEADS, TOGETHER, SLACK = 512, 256, 1e-4
 #: Slots for the words that no example has.
 OTHERS = 1 << 18
 TOXIC = 0.7
@@ -74,62 +76,100 @@ def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Examples' vectors as postings by term and block. vectors: (terms, weights) of each, of length one; ids break ties. Terms from `terms` on are in no posting."""
+    """Examples' vectors by term: the `heads` most frequent terms as rows over all examples, the others as postings by block. vectors: (terms, weights) of each, of length one and by ascending terms; ids break ties. Terms from `terms` on are in neither."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, terms: int, block: int = BLOCK, heads: int = HEADS):
         lead = [int(t[np.argmax(w)]) for t, w in vectors]
         order = sorted(range(len(vectors)), key=lambda i: (lead[i], -float(vectors[i][1].max()), int(ids[i])))  # alike examples share blocks: tight bounds
         self.labels, self.ids, self.block = labels[order], ids[order], block
         self.size, self.terms = len(order), terms
         self.blocks = -(-self.size // block)
-        term = np.concatenate([vectors[i][0] for i in order]).astype(np.int64)
+        term, weight = np.concatenate([vectors[i][0] for i in order]).astype(np.int64), np.concatenate([vectors[i][1] for i in order])
         place = np.repeat(np.arange(self.size), [len(vectors[i][0]) for i in order])
+        frequency = np.bincount(term, minlength=terms)
+        head = np.argsort(-frequency, kind="stable")[: min(heads, np.count_nonzero(frequency))]
+        self.slot = np.full(terms, -1)
+        self.slot[head] = np.arange(len(head))
+        slot = self.slot[term]
+        self.head = np.zeros((len(head), self.size))
+        self.head[slot[slot >= 0], place[slot >= 0]] = weight[slot >= 0]
+        self.rough = self.head.astype(np.float32)
+        term, self.place, self.weight = term[slot < 0], place[slot < 0], weight[slot < 0]
         by_term = np.argsort(term, kind="stable")  # places stay in order
-        term, self.place = term[by_term], place[by_term]
-        self.weight = np.concatenate([vectors[i][1] for i in order])[by_term]
+        term, self.place, self.weight = term[by_term], self.place[by_term], self.weight[by_term]
         # a cell: the postings of one term in one block
         cell = term * self.blocks + self.place // block
-        start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
         self.cell_start = np.append(start, len(cell))
         self.cell_block = self.place[start] // block
-        self.max = np.maximum.reduceat(self.weight, start)
+        self.max = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
         self.first = np.searchsorted(term[start], np.arange(terms + 1))  # each term's first cell
         self.order = order
         self.visited = 0
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, the nearest first; without: a place to leave out."""
-        terms, weights = terms[terms < self.terms], weights[terms < self.terms]
-        n = self.first[terms + 1] - self.first[terms]
-        cells, w = _spread(self.first[terms], n), np.repeat(weights, n)
-        block = self.cell_block[cells]
-        bound = np.bincount(block, w * self.max[cells], self.blocks)
+        return next(self.each_nearest([(terms, weights)], k, [without]))
+
+    def each_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None):
+        """What nearest() gives for each of the vectors, whose most frequent terms are multiplied TOGETHER."""
+        for first in range(0, len(vectors), TOGETHER):
+            some = [(t[t < self.terms], w[t < self.terms]) for t, w in vectors[first : first + TOGETHER]]
+            rows = [self.slot.take(t) for t, _ in some]
+            rough = np.zeros((len(some), len(self.head)), np.float32)
+            for i, (_, w) in enumerate(some):
+                rough[i, rows[i][rows[i] >= 0]] = w[rows[i] >= 0]
+            rough = rough @ self.rough
+            if without is not None:
+                for i, place in enumerate(without[first : first + TOGETHER]):
+                    if place >= 0:
+                        rough[i, place] = -np.inf
+            top = np.maximum.reduceat(rough, np.arange(0, self.size, self.block), axis=1)
+            for i, (t, w) in enumerate(some):
+                in_head = rows[i] >= 0
+                places, scores = self._candidates(t[~in_head], w[~in_head], k, rough[i], top[i])
+                # exact, and the same whatever texts are beside: added term by term
+                scores = scores + (self.head.take(rows[i][in_head][:, None] * self.size + places) * w[in_head][:, None]).sum(0)
+                best = np.lexsort((self.ids[places], -np.round(scores, 12)))[:k]
+                yield places[best], scores[best]
+
+    def _candidates(self, terms: np.ndarray, weights: np.ndarray, k: int, rough: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all examples with a positive cosine that are among the k nearest, or within SLACK, and their cosines by these terms alone. rough: each example's cosine by the terms in rows, top: the largest in each block."""
+        first, end = self.first.take(terms), self.first.take(terms + 1)
+        cells, w = _spread(first, end - first), np.repeat(weights, end - first)
+        block = self.cell_block.take(cells)
+        bound = top + np.bincount(block, w * self.max.take(cells), self.blocks)
         order = np.argsort(-bound, kind="stable")
-        places, scores = np.zeros(0, np.int64), np.zeros(0)
+        line = max(0.0, float(np.partition(rough, -k)[-k])) if self.size >= k else 0.0  # no weight is negative: other terms can only add
+        places, own, scores = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         at, step = 0, 4
         while at < self.blocks:
-            some = order[at : at + step]
-            some = some[(bound[some] > 0) & ((bound[some] >= scores[-1] - 1e-12) if len(places) >= k else True)]
+            some = order[at:]
+            some = some[(bound[some] > 0) & (bound[some] >= line - SLACK)]
             if not len(some):
                 break
-            at, step = at + step, 4 * step
-            self.visited += len(some)
             chosen = np.zeros(self.blocks, bool)
-            chosen[some] = True
-            on = np.flatnonzero(chosen[block])
-            start = self.cell_start[cells[on]]
-            n = self.cell_start[cells[on] + 1] - start
-            post = _spread(start, n)
-            got = np.bincount(self.place.take(post), np.repeat(w[on], n) * self.weight.take(post), self.size)
-            if without >= 0:
-                got[without] = 0
-            hit = np.flatnonzero(got > 0)
-            if len(hit) > k:
-                hit = hit[got[hit] >= np.partition(got[hit], -k)[-k] - 1e-11]
-            places, scores = np.concatenate([places, hit]), np.concatenate([scores, got[hit]])
-            best = np.lexsort((self.ids[places], -np.round(scores, 12)))[:k]
-            places, scores = places[best], scores[best]
-        return places, scores
+            if 2 * len(some) > self.blocks:  # postings of most blocks are read term by term, across blocks
+                chosen[some] = True
+                start, stop, by = self.cell_start.take(first), self.cell_start.take(end), weights
+            else:
+                some, step = some[:step], 4 * step
+                chosen[some] = True
+                on = np.flatnonzero(chosen.take(block))
+                start, stop, by = self.cell_start.take(cells.take(on)), self.cell_start.take(cells.take(on) + 1), w.take(on)
+            at += len(some)
+            self.visited += len(some)
+            post = _spread(start, stop - start)
+            add = np.bincount(self.place.take(post), np.repeat(by, stop - start) * self.weight.take(post), self.size)
+            got = rough + add
+            hit = np.flatnonzero((got > 0) & (got >= line - SLACK))
+            hit = hit[chosen.take(hit // self.block)]
+            places, own, scores = np.concatenate([places, hit]), np.concatenate([own, add.take(hit)]), np.concatenate([scores, got.take(hit)])
+            if len(places) > k:
+                line = max(line, float(np.partition(scores, -k)[-k]))
+                near = scores >= line - SLACK
+                places, own, scores = places[near], own[near], scores[near]
+        return places, own
 
 
 def vote(cosines: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
@@ -165,22 +205,21 @@ class Model:
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / max(1e-12, float(np.sqrt(w @ w)))
 
-    def raw(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        if self.index is None or not len(terms):
-            return None, np.zeros(0, np.int64), np.zeros(0)
-        places, cosines = self.index.nearest(*self.vector(terms, counts), K, without)
-        if not len(places):
-            return None, places, cosines
-        labels = self.index.labels[places]
-        return vote(cosines, labels, self.weight[labels]), places, cosines
+    def raw(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None):
+        """For each of the texts (terms and counts) the examples' vote, None where no example has a word of it, and the nearest ones' places and cosines."""
+        found = iter(() if self.index is None else self.index.each_nearest([self.vector(*x) for x in texts], K, without))
+        for _ in texts:
+            places, cosines = next(found, (np.zeros(0, np.int64), np.zeros(0)))
+            labels = self.index.labels[places] if len(places) else places
+            yield vote(cosines, labels, self.weight[labels]) if len(places) else None, places, cosines
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int], list[float]]:
-        """Calibrated score, and the nearest examples' doc_ids and cosines as evidence."""
-        v, places, cosines = self.raw(terms, counts)
-        if v is None or not len(self.steps):
-            return self.base, [], []
-        value = float(np.interp(v, self.steps, self.values))
-        return min(1.0, max(0.0, value)), self.index.ids[places].tolist(), cosines.tolist()
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]):
+        """For each of the texts (terms and counts) the calibrated score, and the nearest examples' doc_ids and cosines as evidence."""
+        for v, places, cosines in self.raw(texts):
+            if v is None or not len(self.steps):
+                yield self.base, [], []
+            else:
+                yield min(1.0, max(0.0, float(np.interp(v, self.steps, self.values)))), self.index.ids[places].tolist(), cosines.tolist()
 
 
 def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
@@ -226,8 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if full:
         model.index = Index([model.vector(*own[i]) for i in full], toxic[full], ids[full], model.terms.known)
         votes, truth = [], []
-        for place, j in enumerate(model.index.order):
-            v = model.raw(*own[full[j]], without=place)[0]
+        for j, (v, _, _) in zip(model.index.order, model.raw([own[full[j]] for j in model.index.order], list(range(model.index.size))), strict=True):
             if v is not None:
                 votes.append(v)
                 truth.append(full[j])
@@ -247,7 +285,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         for batch in small_batches(batches):
             text, term, n = model.terms.counts(batch.column(1))
             cut = np.searchsorted(text, np.arange(batch.num_rows + 1)).tolist()
-            found = [model.score(term[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            found = list(model.scores([(term[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]))
             scores = [x[0] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= TOXIC) for x in scores], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.list_(pa.float64()))], names=["doc_id", "score", "predicted", "evidence", "cosines"])
 

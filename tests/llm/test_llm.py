@@ -518,6 +518,40 @@ def test_index_finds_the_nearest():
     assert index.visited < 60 * index.blocks * 0.8
 
 
+def test_index_adds_frequent_terms_in_rows(monkeypatch):
+    """The same as all cosines, by fewer than half of the additions that the terms' postings would take; queries with terms beyond the index, without any, and with a place left out."""
+    odds = 1 / np.arange(1, 3001)
+    vectors = []
+    for _ in range(600):
+        terms = np.unique(R.choice(3000, 120, p=odds / odds.sum()))
+        w = R.random(len(terms)) + 0.1
+        vectors.append((terms, w / np.sqrt(w @ w)))
+    vectors += [vectors[i % 7] for i in range(40)]  # copies: ties go to the smaller doc_id
+    ids = R.permutation(len(vectors))
+    index = toxicity.Index(vectors, np.zeros(len(vectors), int), ids, 3000)
+    dense = np.zeros((len(vectors), 3000))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    frequency, added, real = (dense > 0).sum(0), [], np.bincount
+    monkeypatch.setattr(toxicity.np, "bincount", lambda x, *more, **named: added.append(len(x)) or real(x, *more, **named))
+    found = [index.nearest(*vectors[q], 15) for q in range(300)]
+    assert sum(added) < sum(int(frequency[t].sum()) for t, _ in vectors[:300]) / 2
+    places = {i: at for at, i in enumerate(index.order)}
+    left_out = [places[q] if q % 2 else -1 for q in range(300)]
+    for q, (at, scores) in enumerate(found):
+        cosine = dense @ dense[q]
+        want = np.lexsort((ids, -np.round(cosine, 12)))[:15]
+        assert index.ids[at].tolist() == ids[want].tolist() and np.allclose(scores, cosine[want], atol=1e-12)
+    together = list(index.each_nearest(vectors[:300], 15))
+    assert all(a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() for a, b in zip(found, together, strict=True))
+    for q, (at, _) in enumerate(index.each_nearest(vectors[:300], 15, left_out)):
+        cosine = dense @ dense[q]
+        cosine[index.order[left_out[q]] if left_out[q] >= 0 else []] = 0
+        assert index.ids[at].tolist() == ids[np.lexsort((ids, -np.round(cosine, 12)))[:15]].tolist()
+    beyond, none = index.nearest(np.array([5, 3000, 4000]), np.array([0.5, 0.5, 0.5]), 15), index.nearest(np.zeros(0, np.int64), np.zeros(0), 15)
+    assert np.allclose(beyond[1], np.sort(dense[:, 5] * 0.5)[::-1][:15]) and not len(none[0])
+
+
 def test_isotonic():
     x, y = R.random(60).round(1), (R.random(60) < 0.5).astype(float)
     steps, values = toxicity.isotonic(x, y, np.ones(60))
